@@ -40,7 +40,14 @@ _DISGUISE = re.compile(
     rf"|(?P<digits>\b(?:{_D})(?:[\s-]+(?:{_D})){{4,}}\b)",
     re.IGNORECASE,
 )
-_MAY = re.compile(rf"\b(?:at|dot)\b|\b(?:{_D})\s+(?:{_D})\b", re.IGNORECASE)
+_DIGIT_SET = frozenset(DIGIT_WORDS)
+
+
+def _disguised(low: str) -> bool:
+    """Whether a lower-case text may hold a disguise at all (cheap, never misses one)."""
+    if "dot" in low or "at)" in low or "at]" in low or "at}" in low or " at " in low or "at " in low and "( at" in low:
+        return True
+    return len(_DIGIT_SET.intersection(low.replace("-", " ").split())) > 1 or "\n" in low and " at\n" in low
 
 
 def normalise(text: str) -> tuple[str, list[int] | None]:
@@ -67,7 +74,7 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
         if len(chars) == len(text) and "".join(chars) == text:
             chars = None
     s = text if chars is None else "".join(chars)
-    if not _MAY.search(s):
+    if not _disguised(s.lower()):
         return s, where if chars is not None else None
     out: list[str] = []
     back: list[int] = []
@@ -119,12 +126,17 @@ _ADDRESS = re.compile(
     rf"\d{{1,4}} ?[a-z]?,? (?:{_STREET}) (?:{_KIND})\b"
     rf"|\d{{1,4}} ?[a-z]?,? (?:rue|avenue|place) (?:(?:de|du|des|la|le) |d'|l')*[a-zß]+(?=\W|$)"
     rf"|(?:calle|avenida|plaza) (?:(?:de|del|la|los) )*[a-zß]+,? \d{{1,4}}(?: ?[a-z])?(?!\w)"
-    rf"|[a-zßäöü]{{3,}}(?:straße|strasse|str\.|allee|gasse|weg|platz) \d{{1,4}}(?: ?[a-z])?(?!\w)"
     rf")",
     re.IGNORECASE,
 )
+_ADDRESS_JOINED = re.compile(r"(?<![\w-])[a-zßäöü]{3,}(?:straße|strasse|str\.|allee|gasse|weg|platz) \d{1,4}(?: ?[a-z])?(?!\w)", re.IGNORECASE)
 _ADDRESS_PLAIN = re.compile(rf"(?<![\w-])\d{{1,4}}[a-z]? (?:[A-Z][a-z]+ ){{1,2}}(?:{_KIND})\b")
-_ADDRESS_CUE = re.compile(rf"street|\bst\b|road|\brd\b|lane|\bln\b|aven|\bave\b|drive|\bdr\b|close|court|\bct\b|terrace|square|\bsq\b|way|place|\bpl\b|boulevard|\bblvd\b|\brue\b|calle|plaza|stra(?:ß|ss)e|str\.|allee|gasse|weg|platz", re.IGNORECASE)
+_STREET_CUES = tuple(f" {k.lower()}" for k in STREET_KINDS) + (" rue ", "avenue ", "place ", "calle ", "avenida ", "plaza ")
+_JOINED_CUES = ("straße", "strasse", "str.", "allee", "gasse", "weg ", "platz ")
+_NUMBERS = re.compile(r"\d[\d ().+/-]{5,}\d|\d{6}")
+_WORDS = re.compile(r"[a-z]+")
+_ENDS = tuple(FAMILY_ENDINGS)
+_TITLE_SET = frozenset(t.lower() for t in TITLES)
 
 _END = "|".join(FAMILY_ENDINGS)
 _FAMILY = rf"[a-z]{{2,}}(?:{_END})(?:-[a-z]{{2,}}(?:{_END}))?"
@@ -133,13 +145,11 @@ _G = "|".join(GIVEN)
 _PERSON = re.compile(
     rf"\b(?:(?:{_G})(?:-(?:{_G}))?(?: [a-z]\.)? (?P<a>{_FAMILY})"
     rf"|(?P<b>{_FAMILY}), (?:{_G})\b"
-    rf"|(?<![\w.] )(?<!\d )[a-z]\.(?: ?[a-z]\.)? (?P<c>{_KNOWN}))\b",
+    rf"|(?<!\d )[a-z]\.(?: ?[a-z]\.)? (?P<c>{_KNOWN}))\b",
     re.IGNORECASE,
 )
 _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? (?P<name>(?:[A-Z]\. ?|[A-Z][\w]+ ){{0,2}}[A-Z]\w+(?:-[A-Z]\w+)?|{_KNOWN})")
 _TITLED_LOW = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? (?P<name>{_KNOWN})\b", re.IGNORECASE)
-_TITLE_CUE = re.compile(rf"\b(?:{'|'.join(TITLES)})\b", re.IGNORECASE)
-_FAMILY_CUE = re.compile(rf"(?:{_END})\b", re.IGNORECASE)
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -162,25 +172,30 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if "@" in s:
         for m in _EMAIL.finditer(s):
             add("EMAIL", *m.span())
-    digit = any(map(str.isdigit, s))
-    if digit:
-        if _ADDRESS_CUE.search(s):
-            for m in _ADDRESS.finditer(s):
-                add("ADDRESS", *m.span())
-            for m in _ADDRESS_PLAIN.finditer(s):
-                add("ADDRESS", *m.span())
+    low = s.lower()
+    if any(c in low for c in _STREET_CUES):
+        for m in _ADDRESS.finditer(s):
+            add("ADDRESS", *m.span())
+        for m in _ADDRESS_PLAIN.finditer(s):
+            add("ADDRESS", *m.span())
+    if any(c in low for c in _JOINED_CUES):
+        for m in _ADDRESS_JOINED.finditer(s):
+            add("ADDRESS", *m.span())
+    if _NUMBERS.search(s):
         for m in _ID.finditer(s):
             add("ID_NUMBER", *m.span())
         for m in _LABELLED_ID.finditer(s):
             add("ID_NUMBER", *m.span("id"))
         for m in _PHONE.finditer(s):
             add("PHONE", *m.span())
-    if _FAMILY_CUE.search(s):
+    words = set(_WORDS.findall(low))
+    family = any(w.endswith(_ENDS) and w not in NOT_FAMILY and len(w) > 5 for w in words)
+    if family:
         for m in _PERSON.finditer(s):
             name = m.group("a") or m.group("b") or m.group("c")
             if name.lower() not in NOT_FAMILY:
                 add("PERSON", *m.span())
-    if _TITLE_CUE.search(s):
+    if not words.isdisjoint(_TITLE_SET):
         for m in _TITLED.finditer(s):
             add("PERSON", *m.span("name"))
         for m in _TITLED_LOW.finditer(s):
