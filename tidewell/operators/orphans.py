@@ -40,8 +40,8 @@ class Parent:
 class Reference:
     """``rows.column`` of table ``child`` names a key of ``parent``.
 
-    ``key`` identifies a child row; where the child is itself a parent, it is
-    the one column that others refer to.  ``made_at`` is when the reference
+    ``key`` identifies a reference of the child; where the child is itself a
+    parent, others refer to the key's first column.  ``made_at`` is when the reference
     was made, for late parents and for the report's period.
     """
 
@@ -92,6 +92,11 @@ def direct_orphans(ref: Reference) -> DataFrame:
     return out.select(*names, F.lit(ref.side).alias("side"), F.col("__made").alias("made_at"), F.coalesce("reason", F.lit("late")).alias("reason")).dropDuplicates([*ref.key, "side"])
 
 
+def _name(ref: Reference) -> Column:
+    """What others call a child row: the first column of its key."""
+    return F.col(ref.key[0]).cast("string")
+
+
 def _keys(df: DataFrame, ref: Reference) -> Column:
     return F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(ref.key)]), {"ignoreNullFields": "false"})
 
@@ -109,7 +114,7 @@ def cascade(refs: list[Reference], max_rounds: int = 10_000) -> DataFrame:
     parts = []
     for r in refs:
         d = direct_orphans(r)
-        parts.append(d.select(F.lit(r.child).alias("tbl"), "side", _keys(d, r).alias("record"), "made_at", (F.col(r.key[0]) if len(r.key) == 1 else F.lit(None)).cast("string").alias("id")))
+        parts.append(d.select(F.lit(r.child).alias("tbl"), "side", _keys(d, r).alias("record"), "made_at", _name(r).alias("id")))
     level = parts[0]
     for p in parts[1:]:
         level = level.unionByName(p)
@@ -123,7 +128,7 @@ def cascade(refs: list[Reference], max_rounds: int = 10_000) -> DataFrame:
             rows = r.rows.where(F.col(r.column).isNotNull())
             made = F.col(r.made_at) if r.made_at else F.lit(None).cast("timestamp_ntz")
             rows = rows.select(
-                F.lit(r.child).alias("tbl"), F.lit(r.side).alias("side"), _keys(rows, r).alias("record"), made.alias("made_at"), (F.col(r.key[0]) if len(r.key) == 1 else F.lit(None)).cast("string").alias("id"),
+                F.lit(r.child).alias("tbl"), F.lit(r.side).alias("side"), _keys(rows, r).alias("record"), made.alias("made_at"), _name(r).alias("id"),
                 F.lit(r.parent.name).alias("__p"), F.col(r.column).cast("string").alias("__k"), F.pmod(F.xxhash64(*r.key), F.lit(SALTS)).cast("int").alias("__salt"),
             )
             parts.append(rows.join(spread, ["__p", "__k", "__salt"], "left_semi").drop("__p", "__k", "__salt"))
