@@ -28,8 +28,9 @@ from tidewell.session import join_checked, materialise
 TABLES = 5
 PROBES = 16  # perturbed buckets visited in each table
 BUCKET = 192  # vectors that a bucket should hold
-CELL = 60_000  # vectors that a task should hold
+CELL = 16_000  # vectors that a task should hold
 CELL_TABLES, CELL_PROBES = 3, 3
+CELL_INNER = 2  # tables inside a cell: a neighbour has its chance in each cell table too
 SAMPLE = 4096  # vectors of a large collection that its cells are fitted on
 WIDTH = 2.0  # interval, in standard deviations of the projections
 
@@ -234,17 +235,20 @@ def usable(atoms: DataFrame, regions: DataFrame) -> DataFrame:
     return join_checked(a, r, "region").where(fine & F.col("metric").isin("cosine", "l2", "inner")).select("region", "id", "v", "metric")
 
 
-def _fit_cells(key, table):
-    """Cell projections of one large collection, from a bounded sample of it."""
-    n, metric, top = table.column("n")[0].as_py(), table.column("metric")[0].as_py(), table.column("top")[0].as_py()
-    x, _ = embed(metric, _matrix(table.column("v")), top)
-    bits = max(1, int(np.ceil(np.log2(n / CELL) / 1.2)))
-    rows = []
-    for t in range(CELL_TABLES):
-        a = _directions(x.shape[1], bits, 7001 + 31 * t)
-        p = x @ a.T
-        rows.append((p.mean(0).tolist(), (WIDTH * p.std(0) + 1e-9).tolist()))
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([[m for m, _ in rows]], pa.list_(pa.list_(pa.float64()))), pa.array([[w for _, w in rows]], pa.list_(pa.list_(pa.float64())))], names=["region", "mid", "width"])
+def _cell_fitter(cell: int):
+    def fit(key, table):
+        """Cell projections of one large collection, from a bounded sample of it."""
+        n, metric, top = table.column("n")[0].as_py(), table.column("metric")[0].as_py(), table.column("top")[0].as_py()
+        x, _ = embed(metric, _matrix(table.column("v")), top)
+        bits = max(1, int(np.ceil(np.log2(n / cell) / 1.2)))
+        rows = []
+        for t in range(CELL_TABLES):
+            a = _directions(x.shape[1], bits, 7001 + 31 * t)
+            p = x @ a.T
+            rows.append((p.mean(0).tolist(), (WIDTH * p.std(0) + 1e-9).tolist()))
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([[m for m, _ in rows]], pa.list_(pa.list_(pa.float64()))), pa.array([[w for _, w in rows]], pa.list_(pa.list_(pa.float64())))], names=["region", "mid", "width"])
+
+    return fit
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,15 +267,21 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, shift = _directions(data.shape[1], mid.shape[1], 7001 + 31 * t), _offsets(mid.shape[1], 7001 + 31 * t)
                 home = _key(np.floor((data @ a.T - mid[t]) / width[t] + shift).astype(np.int64))
                 pos = (q @ a.T - mid[t]) / width[t] + shift
-                asked = [_key(np.floor(pos).astype(np.int64)), *map(_key, probes(pos, CELL_PROBES))]
-                for role, key in [(1, home), *((0, a_) for a_ in asked)]:
+                own = _key(np.floor(pos).astype(np.int64))
+                # A query's own cell is mostly its home as data (always, but for the inner product).
+                both = own == home
+                sent = [(3, home, both), (1, home, ~both), (2, own, ~both), *((2, key, np.ones(s.num_rows, bool)) for key in map(_key, probes(pos, CELL_PROBES)))]
+                for role, key, rows in sent:
+                    if not rows.any():
+                        continue
+                    some, key = s.filter(pa.array(rows)), key[rows]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((key * 1_000_003 + g * 7919 + t) & 0x7FFFFFFFFFFFFFFF, pa.int64()), s.column(0), pa.array(np.full(s.num_rows, role), pa.int32()), s.column(1), s.column(2), s.column(3), s.column(4)],
+                        [pa.array((key * 1_000_003 + g * 7919 + t) & 0x7FFFFFFFFFFFFFFF, pa.int64()), some.column(0), pa.array(np.full(some.num_rows, role), pa.int32()), *(some.column(c) for c in (1, 2, 3, 4))],
                         names=["cell", "region", "role", "id", "v", "metric", "top"],
                     )
 
 
-def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5) -> DataFrame:
+def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL) -> DataFrame:
     """(region, id, near, distance): the k nearest others of every usable vector in its region.
 
     Nearest by the region's metric (cosine or Euclidean distance, or largest
@@ -284,7 +294,7 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5) -> DataFrame:
     rows = usable(atoms, regions)
     stats = rows.groupBy("region").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("top"))
     stats = materialise(stats, "regions")
-    large = stats.where(F.col("n") > 2 * CELL)
+    large = stats.where(F.col("n") > 2 * cell)
     none_large = large.isEmpty()
     kind = "long"
 
@@ -317,14 +327,15 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5) -> DataFrame:
     # The sample: smallest hashes of a share that gives about SAMPLE rows of each collection.
     share = mine.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (2 * SAMPLE) / F.col("n"))
     first = share.withColumn("__r", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))).where(F.col("__r") <= SAMPLE)
-    fitted = materialise(first.groupBy("region").applyInArrow(_fit_cells, "region long, mid array<array<double>>, width array<array<double>>"), "cells")
+    fitted = materialise(first.groupBy("region").applyInArrow(_cell_fitter(cell), "region long, mid array<array<double>>, width array<array<double>>"), "cells")
     sent = join_checked(mine.select("region", "id", "v", "metric", "top"), fitted, "region").mapInArrow(_spread, f"cell long, region long, role int, id long, v {dict(rows.dtypes)['v']}, metric string, top double")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _Groups(batches):
             role, ids, x = t.column("role").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v"))
-            (di, df), (qi, qf) = (np.unique(ids[role == w], return_index=True) for w in (1, 0))
-            qa, nb, dd = neighbours(di, x[role == 1][df], x[role == 0][qf], qi, t.column("metric")[0].as_py(), t.column("top")[0].as_py(), k, TABLES, PROBES, 11)
+            data, asks = role & 1 > 0, role & 2 > 0
+            (di, df), (qi, qf) = (np.unique(ids[w], return_index=True) for w in (data, asks))
+            qa, nb, dd = neighbours(di, x[data][df], x[asks][qf], qi, t.column("metric")[0].as_py(), t.column("top")[0].as_py(), k, CELL_INNER, PROBES, 11)
             if len(qa):
                 yield _out([np.full(len(qa), t.column("region")[0].as_py())], [qa], [nb], [dd])
 
