@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.session import configure, table
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings memory_regions atoms memory_edges forgotten_atoms atom_inputs recall_queries recall_candidates subject_labels benchmark".split()
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -23,4 +28,19 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql(name: str, text: str, duck: str | None = None) -> None:
+    """Register SQL over the tables it names; ``duck`` only where the dialects differ."""
+    names = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        configure(spark)
+        for t in names:
+            table(spark, d, t).createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = duck or text
+
+
 from tidewell.plans import orphan_queries, relational_queries  # noqa: E402,F401

@@ -1 +1,128 @@
-from tidewell.plans.registry import query
+"""Scans, joins, aggregates, windows, sorts, set operations, subqueries, CTEs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.operators import relational as R
+from tidewell.plans.registry import query, sql
+from tidewell.session import configure, table
+
+# Flagship.
+sql(
+    "revenue_by_nation",
+    """SELECT n_name, CAST(count(*) AS BIGINT) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE l_returnflag <> 'R' GROUP BY n_name HAVING count(*) > 1 ORDER BY revenue DESC, n_name LIMIT 20""",
+)
+
+# Scans, projections, predicates.
+sql("scan_all", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem")
+sql("point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+sql("range_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
+sql("index_range", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey = 7 AND l_quantity > 20 AND l_quantity <= 40")
+sql("partial_index", "SELECT id, text_content FROM atoms WHERE expires_at IS NOT NULL AND immutable = 0")
+sql("expression_index", "SELECT c_custkey, c_name FROM customer WHERE lower(c_mktsegment) = 'building'")
+sql("count_star", "SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem")
+sql("no_from", "SELECT 1 + 2 AS three, 'a' || 'b' AS ab, CAST(NULL AS BIGINT) AS nothing")
+sql("project_exprs", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge, -l_quantity AS neg, l_quantity + 1 AS q1, NOT (l_returnflag = 'A') AS not_a FROM lineitem")
+sql("filter_like_ci", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A%' AND p_type NOT ILIKE 'std%'")
+sql("filter_in", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)")
+sql("filter_between", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.04 AND l_quantity NOT BETWEEN 10 AND 20")
+sql("three_valued", "SELECT id, (score > 1 AND region_id = 1) AS a, (score > 1 OR region_id = 1) AS o, (score IS NULL) AS n FROM atoms WHERE score IS NULL OR NOT isnan(score)")
+sql("case_when", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s, CASE WHEN o_totalprice > 200000 THEN 2 WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS band FROM orders")
+sql("coalesce_nullif_iif", "SELECT id, coalesce(score, confidence, 0.0) AS c, nullif(kind, 'fact') AS k, CASE WHEN access_count > 3 THEN 'hot' ELSE 'cold' END AS heat FROM atoms WHERE score IS NULL OR NOT isnan(score)")
+sql("collate_nocase_sort", "SELECT doc_id, lang, row_number() OVER (ORDER BY lower(lang) NULLS FIRST, doc_id) AS pos FROM documents")
+sql("any_array", "SELECT o_orderkey, o_orderstatus FROM orders WHERE array_contains(array('F', 'P'), o_orderstatus)", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = ANY(['F', 'P'])")
+sql("distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+
+# Joins.
+sql("join_inner", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
+sql("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000")
+sql("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 250000")
+sql("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) c ON s_suppkey = c_custkey")
+sql("join_cross", "SELECT a.r_name AS x, b.n_name AS y FROM region a CROSS JOIN nation b")
+sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+sql("join_residual", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_quantity > 45")
+sql("join_multiway", "SELECT r_name, CAST(count(*) AS BIGINT) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey JOIN lineitem ON s_suppkey = l_suppkey GROUP BY r_name")
+sql("join_null_keys", "SELECT f.atom_id, r.name FROM forgotten_atoms f LEFT JOIN memory_regions r ON f.region_id = r.id")
+sql("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+sql("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20)")
+sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+sql("anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice, CAST(rn AS INTEGER) AS rn FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) ON c_custkey = o_custkey WHERE rn <= 3")
+def lateral_topk(spark: SparkSession, d: str) -> DataFrame:
+    configure(spark)
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return R.lateral_top_k(c, o, c["c_custkey"] == o["o_custkey"], "o_custkey", [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3, "rn").select("c_custkey", "o_orderkey", "o_totalprice", "rn")
+
+
+# Aggregates.
+sql("agg_global", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(l_returnflag) AS BIGINT) AS nf, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_shipdate) AS lo, max(l_shipdate) AS hi, CAST(sum(l_linenumber) AS BIGINT) AS ln FROM lineitem")
+sql("agg_groupby", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice * (1 - l_discount)), 2) AS rev, round(avg(l_quantity), 6) AS aq FROM lineitem GROUP BY l_returnflag, l_linestatus")
+sql("agg_distinct", "SELECT o_orderpriority, CAST(count(DISTINCT o_custkey) AS BIGINT) AS n, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS s FROM orders GROUP BY o_orderpriority")
+sql("agg_having", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12 AND avg(o_totalprice) > 100000")
+sql("agg_filter", "SELECT o_orderstatus, CAST(count(*) FILTER (WHERE o_totalprice > 200000) AS BIGINT) AS big, round(sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 2) AS urgent FROM orders GROUP BY o_orderstatus")
+sql("agg_expr_key", "SELECT o_orderkey % 7 AS k, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderkey % 7")
+sql("agg_date_trunc", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, count(*) AS n FROM orders GROUP BY 1")
+sql("agg_rollup", "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)")
+
+# Windows.
+_W = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey)"
+sql("row_number", f"SELECT o_orderkey, CAST(row_number() {_W} AS BIGINT) AS rn FROM orders")
+sql("rank", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r FROM orders")
+sql("dense_rank", "SELECT o_orderkey, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r FROM orders")
+sql("ntile", "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q FROM customer")
+sql("lag_lead", f"SELECT o_orderkey, lag(o_totalprice) {_W} AS before, lead(o_totalprice, 2, 0.0) {_W} AS after2 FROM orders")
+sql("first_last_value", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)")
+sql("win_sum_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS s, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events")
+sql("win_avg_range", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS a FROM orders")
+sql("win_minmax_sliding", "SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)")
+sql("win_whole_partition", "SELECT c_custkey, round(sum(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS s, CAST(count(*) OVER (PARTITION BY c_nationkey) AS BIGINT) AS n FROM customer")
+sql("win_over_agg", "SELECT c_nationkey, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey) x")
+
+# Sort, limit, set operations.
+sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+sql("limit_offset", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20 OFFSET 40")
+sql("nulls_placement", "SELECT id, row_number() OVER (ORDER BY expires_at ASC NULLS FIRST, id) AS a, row_number() OVER (ORDER BY expires_at DESC NULLS LAST, id) AS b FROM (SELECT DISTINCT id, expires_at FROM atoms) x")
+sql("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+sql("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+sql("except", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+sql("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+sql("compound_order_limit", "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier) x ORDER BY k DESC LIMIT 15")
+
+# Subqueries and CTEs.
+sql("scalar_corr", "SELECT c_custkey, (SELECT CAST(count(*) AS BIGINT) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS m FROM customer c")
+sql("scalar_uncorr", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)")
+sql("correlated_in", "SELECT o_orderkey FROM orders o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 48)")
+sql("cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE t > 1500000) SELECT c_name, round(t, 2) AS t FROM top JOIN customer ON c_custkey = o_custkey")
+sql("recursive_series", "WITH RECURSIVE s(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f + n FROM s WHERE n < 60) SELECT n, f FROM s")
+sql("view", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM customer WHERE c_acctbal > 0) rich GROUP BY c_nationkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT o_totalprice FROM orders WHERE o_orderstatus = 'F')")
+def all_subquery(spark: SparkSession, d: str) -> DataFrame:
+    configure(spark)
+    o = table(spark, d, "orders")
+    return R.compare_all(o, "o_totalprice", ">=", o.where("o_orderstatus = 'F'"), "o_totalprice").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < ANY (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)")
+def any_subquery(spark: SparkSession, d: str) -> DataFrame:
+    configure(spark)
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    return R.compare_any(c, "c_acctbal", "<", s.where("s_nationkey = 3"), "s_acctbal").select("c_custkey")
+
+
+@query("WITH RECURSIVE w(id) AS (SELECT DISTINCT dst_id FROM memory_edges WHERE src_id % 50 = 0 UNION SELECT e.dst_id FROM w JOIN memory_edges e ON e.src_id = w.id AND e.kind IN ('derived_from', 'supersedes')) SELECT id FROM w")
+def recursive_union_graph(spark: SparkSession, d: str) -> DataFrame:
+    configure(spark)
+    e = table(spark, d, "memory_edges")
+    steps = e.where(F.col("kind").isin("derived_from", "supersedes")).select("src_id", F.col("dst_id").alias("next"))
+    seed = e.where("src_id % 50 = 0").select(F.col("dst_id").alias("id"))
+    return R.recursive_union(seed, lambda new: new.join(steps, F.col("id") == F.col("src_id")).select(F.col("next").alias("id")))
