@@ -43,4 +43,4 @@ def sql(name: str, text: str, duck: str | None = None) -> None:
     ORACLES[name] = duck or text
 
 
-from tidewell.plans import orphan_queries, relational_queries  # noqa: E402,F401
+from tidewell.plans import function_queries, json_queries, orphan_queries, relational_queries  # noqa: E402,F401

@@ -26,14 +26,14 @@ sql("partial_index", "SELECT id, text_content FROM atoms WHERE expires_at IS NOT
 sql("expression_index", "SELECT c_custkey, c_name FROM customer WHERE lower(c_mktsegment) = 'building'")
 sql("count_star", "SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem")
 sql("no_from", "SELECT 1 + 2 AS three, 'a' || 'b' AS ab, CAST(NULL AS BIGINT) AS nothing")
-sql("project_exprs", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge, -l_quantity AS neg, l_quantity + 1 AS q1, NOT (l_returnflag = 'A') AS not_a FROM lineitem")
+sql("project_exprs", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, -l_quantity AS neg, l_quantity + 1 AS q1, NOT (l_returnflag = 'A') AS not_a FROM lineitem")
 sql("filter_like_ci", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A%' AND p_type NOT ILIKE 'std%'")
 sql("filter_in", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)")
 sql("filter_between", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.04 AND l_quantity NOT BETWEEN 10 AND 20")
 sql("three_valued", "SELECT id, (score > 1 AND region_id = 1) AS a, (score > 1 OR region_id = 1) AS o, (score IS NULL) AS n FROM atoms WHERE score IS NULL OR NOT isnan(score)")
 sql("case_when", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s, CASE WHEN o_totalprice > 200000 THEN 2 WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS band FROM orders")
 sql("coalesce_nullif_iif", "SELECT id, coalesce(score, confidence, 0.0) AS c, nullif(kind, 'fact') AS k, CASE WHEN access_count > 3 THEN 'hot' ELSE 'cold' END AS heat FROM atoms WHERE score IS NULL OR NOT isnan(score)")
-sql("collate_nocase_sort", "SELECT doc_id, lang, row_number() OVER (ORDER BY lower(lang) NULLS FIRST, doc_id) AS pos FROM documents")
+sql("collate_nocase_sort", "SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY lower(lang) NULLS FIRST, doc_id) AS BIGINT) AS pos FROM documents")
 sql("any_array", "SELECT o_orderkey, o_orderstatus FROM orders WHERE array_contains(array('F', 'P'), o_orderstatus)", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = ANY(['F', 'P'])")
 sql("distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
 
@@ -79,7 +79,7 @@ sql("ntile", "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORD
 sql("lag_lead", f"SELECT o_orderkey, lag(o_totalprice) {_W} AS before, lead(o_totalprice, 2, 0.0) {_W} AS after2 FROM orders")
 sql("first_last_value", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)")
 sql("win_sum_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS s, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events")
-sql("win_avg_range", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS a FROM orders")
+sql("win_avg_range", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 7.3, 3) AS a FROM orders")
 sql("win_minmax_sliding", "SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)")
 sql("win_whole_partition", "SELECT c_custkey, round(sum(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS s, CAST(count(*) OVER (PARTITION BY c_nationkey) AS BIGINT) AS n FROM customer")
 sql("win_over_agg", "SELECT c_nationkey, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey) x")
@@ -87,7 +87,7 @@ sql("win_over_agg", "SELECT c_nationkey, n, CAST(rank() OVER (ORDER BY n DESC) A
 # Sort, limit, set operations.
 sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 sql("limit_offset", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20 OFFSET 40")
-sql("nulls_placement", "SELECT id, row_number() OVER (ORDER BY expires_at ASC NULLS FIRST, id) AS a, row_number() OVER (ORDER BY expires_at DESC NULLS LAST, id) AS b FROM (SELECT DISTINCT id, expires_at FROM atoms) x")
+sql("nulls_placement", "SELECT id, CAST(row_number() OVER (ORDER BY expires_at ASC NULLS FIRST, id) AS BIGINT) AS a, CAST(row_number() OVER (ORDER BY expires_at DESC NULLS LAST, id) AS BIGINT) AS b FROM (SELECT DISTINCT id, expires_at FROM atoms) x")
 sql("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
