@@ -18,7 +18,7 @@ def inputs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "atom_inputs").where("payload IS NOT NULL").select("input_id", "payload")
 
 
-@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, props->'k' IS NOT NULL AS there FROM events")
+@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, (props->'k') IS NOT NULL AS there FROM events")
 def json_get(spark: SparkSession, d: str) -> DataFrame:
     configure(spark)
     return table(spark, d, "events").select("event_id", J.get_text(F.col("props"), "k").cast("long").alias("k"), J.get(F.col("props"), "k").isNotNull().alias("there"))
@@ -44,7 +44,7 @@ def json_typeof(spark: SparkSession, d: str) -> DataFrame:
     return inputs(spark, d).select("input_id", J.typeof(p).alias("kind"), F.coalesce(J.array_length(J.get_path(p, "{tags}")), F.lit(-1)).cast("long").alias("n_tags"), J.object_length(p).alias("n_keys"))
 
 
-@query(f"SELECT input_id, unnest(CAST(j->'tags' AS VARCHAR[])) AS tag FROM {_INPUTS} WHERE j->'tags' IS NOT NULL")
+@query(f"SELECT input_id, unnest(CAST(j->'tags' AS VARCHAR[])) AS tag FROM {_INPUTS} WHERE (j->'tags') IS NOT NULL")
 def json_array_elements(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs(spark, d).withColumn("tags", J.get_path(p, "{tags}"))
     return J.array_elements(rows, "tags", "tag", text=True).select("input_id", "tag")
@@ -62,7 +62,7 @@ def json_object_keys(spark: SparkSession, d: str) -> DataFrame:
     return J.object_keys(rows, "payload").groupBy("kind").agg(F.count_distinct("key").alias("n"))
 
 
-@query(f"SELECT input_id, row_number() OVER (PARTITION BY input_id ORDER BY i) AS pos, tag FROM (SELECT input_id, unnest(CAST(j->'tags' AS VARCHAR[])) AS tag, generate_subscripts(CAST(j->'tags' AS VARCHAR[]), 1) AS i FROM {_INPUTS} WHERE j->'tags' IS NOT NULL)")
+@query(f"SELECT input_id, row_number() OVER (PARTITION BY input_id ORDER BY i) AS pos, tag FROM (SELECT input_id, unnest(CAST(j->'tags' AS VARCHAR[])) AS tag, generate_subscripts(CAST(j->'tags' AS VARCHAR[]), 1) AS i FROM {_INPUTS} WHERE (j->'tags') IS NOT NULL)")
 def json_table(spark: SparkSession, d: str) -> DataFrame:
     return J.json_table(inputs(spark, d), "payload", "$.tags[*]", [("tag", "string", "$")], "pos").select("input_id", "pos", "tag")
 
