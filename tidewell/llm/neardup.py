@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewell.session import materialise
 
 THRESHOLD = 0.7
-ROWS, BANDS = 4, 50
+ROWS, BANDS = 6, 80
 #: Document frequencies below this share weigh alike, which bounds what is sent to the tasks.
 RARE = 0.002
 #: A band with more records goes the exact way by rare-shingle prefixes.
@@ -90,24 +90,35 @@ def _uniform(h: np.ndarray, k: int, part: int) -> np.ndarray:
     return ((_mix(h + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Sample ``k`` of each record, as numbers: equal with the weighted Jaccard probability.
+class Sampler:
+    """Consistent samples of many records at once.
 
-    ``h`` and ``weight`` are the shingles of all records one after another,
-    ``starts`` each record's first.
+    What a shingle with a weight draws does not depend on the record, so it is
+    drawn once for each distinct (shingle, weight); a record's sample is the
+    least of what its own have drawn.
     """
-    uniq, inv = np.unique(h.view(np.uint64), return_inverse=True)
-    r = (-np.log(_uniform(uniq, k, 0) * _uniform(uniq, k, 1)))[inv]
-    c = np.log(-np.log(_uniform(uniq, k, 2) * _uniform(uniq, k, 3)))[inv]
-    beta = _uniform(uniq, k, 4)[inv]
-    t = np.floor(np.log(weight) / r + beta)
-    a = c - r * (t - beta) - r
-    least = np.minimum.reduceat(a, starts)
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-    at = np.flatnonzero(a == least[row])
-    _, first = np.unique(row[at], return_index=True)
-    pick = at[first]
-    return _mix(h[pick].view(np.uint64) + _mix(t[pick].astype(np.int64).view(np.uint64) + np.uint64(k + 1)))
+
+    def __init__(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray):
+        self.starts = starts
+        order = np.lexsort((weight, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (weight[order][1:] != weight[order][:-1])
+        self.inv = np.empty(len(h), np.int32)
+        self.inv[order] = np.cumsum(new) - 1
+        self.h, self.log = h[order][new].view(np.uint64), np.log(weight[order][new])
+
+    def draw(self, k: int) -> np.ndarray:
+        """Sample ``k`` of each record, as numbers: equal with the weighted Jaccard probability."""
+        h = self.h
+        r = -np.log(_uniform(h, k, 0) * _uniform(h, k, 1))
+        c = np.log(-np.log(_uniform(h, k, 2) * _uniform(h, k, 3)))
+        beta = _uniform(h, k, 4)
+        t = np.floor(self.log / r + beta)
+        order = np.argsort(c - r * (t - beta) - r, kind="stable")
+        place = np.empty(len(h), np.int32)
+        place[order] = np.arange(len(h), dtype=np.int32)
+        best = order[np.minimum.reduceat(place[self.inv], self.starts)]
+        return _mix(h[best] + _mix(t[best].astype(np.int64).view(np.uint64) + np.uint64(k + 1)))
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +138,11 @@ def band_rows(reps: DataFrame, idf: tuple[np.ndarray, np.ndarray, float], rows:
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             w = c * (np.where(known[at] == h, weight[at], rare) if len(known) else rare)
             starts = np.cumsum(n) - n
+            sampler = Sampler(h, w, starts)
             for band in range(bands):
                 key = np.full(b.num_rows, band, np.uint64)
                 for r in range(rows):
-                    key = _mix(key * np.uint64(31) + samples(h, w, starts, band * rows + r))
+                    key = _mix(key * np.uint64(31) + sampler.draw(band * rows + r))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(3)], names=["band", "k", "total"])
 
     return reps.select("k", "h", "c", "total").mapInArrow(run, f"band long, k {dict(reps.dtypes)['k']}, total int")
@@ -215,13 +227,11 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     weight = np.log1p(n / np.maximum(df_rows["n"].to_numpy(np.float64), 1.0))
     idf = (known, weight, math.log1p(1 / RARE if n * RARE > 1 else max(n, 1)))
     banded = materialise(band_rows(reps, idf, rows, bands), "bands")
-    big = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > wide).select("band")
-    big = materialise(big, "wide")
-    if big.isEmpty():
-        found = _pairs(banded, "band", threshold)
-    else:
-        found = _pairs(banded.join(big, "band", "left_anti"), "band", threshold)
-        hot = banded.join(big, "band", "left_semi").select("k").distinct()
+    counts = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(banded.join(counts, "band"), "shared")
+    found = _pairs(shared.where(F.col("n") <= wide), "band", threshold)
+    hot = shared.where(F.col("n") > wide).select("k").distinct()
+    if not hot.isEmpty():
         exact = _prefixes(reps.join(hot, "k", "left_semi"), idf, threshold)
         found = found.unionByName(_pairs(exact, "token", threshold)).distinct()
     links = materialise(_verify(found, reps, threshold), "links") if n else df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
