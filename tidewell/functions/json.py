@@ -65,7 +65,7 @@ def get_text(doc: Column, key: str | int) -> Column:
     return _map(lambda x: _text(_step(x, key)), "string", doc)
 
 
-_NONE = object()
+_NONE = ...  # stays itself when functions are sent to the workers
 
 
 def _step(x: Any, key: str | int) -> Any:
