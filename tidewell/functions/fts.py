@@ -347,7 +347,8 @@ def ts_rank_cd(v: Column, q, norm: int = 0) -> Column:
         def one(vec):
             if vec is None or not leaves:
                 return 0.0
-            hits = sorted((int(p), i) for e in vec for i, (lex, pre) in enumerate(leaves) if (e["lex"].startswith(lex) if pre else e["lex"] == lex) for p in e["pos"])
+            entries = [(e["lex"], e["pos"]) if isinstance(e, dict) else (e[0], e[1]) for e in vec]
+            hits = sorted((int(p), i) for have, at in entries for i, (lex, pre) in enumerate(leaves) if (have.startswith(lex) if pre else have == lex) for p in at)
             seen: dict[int, int] = {}
             best, lo = 0.0, 0
             for at, (p, i) in enumerate(hits):

@@ -31,7 +31,7 @@ def bm25(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
 
     terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
     rows = df.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("__w"))
-    tf = [F.size(F.filter("__w", lambda x, t=t: x == t)).cast("double").alias(f"__tf{i}") for i, t in enumerate(terms)]
+    tf = [F.size(F.filter("__w", lambda x: x == F.lit(t))).cast("double").alias(f"__tf{i}") for i, t in enumerate(terms)]
     rows = rows.select(key, F.size("__w").cast("double").alias("__n"), *tf)
     stats = rows.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"__df{i}") for i in range(len(terms))])
     both = rows.join(F.broadcast(stats), how="cross")  # stats is one row
