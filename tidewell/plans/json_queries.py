@@ -9,7 +9,9 @@ from tidewell.functions import json as J
 from tidewell.plans.registry import query
 from tidewell.session import configure, table
 
-p = F.col("payload")
+def p():
+    return F.col("payload")
+
 _INPUTS = "(SELECT input_id, CAST(payload AS JSON) AS j FROM atom_inputs WHERE payload IS NOT NULL)"
 
 
@@ -26,27 +28,27 @@ def json_get(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT input_id, j->>'topic' AS topic, j#>>'{{tags,0}}' AS tag, j->'tags'->>-1 AS last_tag, j#>>'{{model,name}}' AS model FROM {_INPUTS}".replace("j#>>'{tags,0}'", "j->'tags'->>0").replace("j#>>'{model,name}'", "j->'model'->>'name'"))
 def json_get_text(spark: SparkSession, d: str) -> DataFrame:
-    return inputs(spark, d).select("input_id", J.get_text(p, "topic").alias("topic"), J.get_path_text(p, "{tags,0}").alias("tag"), J.get_path_text(p, "{tags,-1}").alias("last_tag"), J.get_path_text(p, "{model,name}").alias("model"))
+    return inputs(spark, d).select("input_id", J.get_text(p(), "topic").alias("topic"), J.get_path_text(p(), "{tags,0}").alias("tag"), J.get_path_text(p(), "{tags,-1}").alias("last_tag"), J.get_path_text(p(), "{model,name}").alias("model"))
 
 
 @query(f"SELECT input_id, j->>'topic' IS NOT DISTINCT FROM 'law' AS law, json_contains(j, '{{\"topic\": \"sport\"}}') AS sport FROM {_INPUTS}")
 def json_contains(spark: SparkSession, d: str) -> DataFrame:
-    return inputs(spark, d).select("input_id", J.contains(p, '{"topic": "law"}').alias("law"), J.contains(p, '{"topic": "sport"}').alias("sport"))
+    return inputs(spark, d).select("input_id", J.contains(p(), '{"topic": "law"}').alias("law"), J.contains(p(), '{"topic": "sport"}').alias("sport"))
 
 
 @query(f"SELECT input_id, list_contains(json_keys(j), 'tags') AS has, list_has_any(json_keys(j), ['tags', 'model']) AS some, list_has_all(json_keys(j), ['tags', 'model']) AS every FROM {_INPUTS}")
 def json_has_key(spark: SparkSession, d: str) -> DataFrame:
-    return inputs(spark, d).select("input_id", J.has_key(p, "tags").alias("has"), J.has_any_key(p, ["tags", "model"]).alias("some"), J.has_all_keys(p, ["tags", "model"]).alias("every"))
+    return inputs(spark, d).select("input_id", J.has_key(p(), "tags").alias("has"), J.has_any_key(p(), ["tags", "model"]).alias("some"), J.has_all_keys(p(), ["tags", "model"]).alias("every"))
 
 
 @query(f"SELECT input_id, lower(json_type(j)) AS kind, CAST(coalesce(json_array_length(j, '$.tags'), -1) AS BIGINT) AS n_tags, CAST(len(json_keys(j)) AS BIGINT) AS n_keys FROM {_INPUTS}")
 def json_typeof(spark: SparkSession, d: str) -> DataFrame:
-    return inputs(spark, d).select("input_id", J.typeof(p).alias("kind"), F.coalesce(J.array_length(J.get_path(p, "{tags}")), F.lit(-1)).cast("long").alias("n_tags"), J.object_length(p).alias("n_keys"))
+    return inputs(spark, d).select("input_id", J.typeof(p()).alias("kind"), F.coalesce(J.array_length(J.get_path(p(), "{tags}")), F.lit(-1)).cast("long").alias("n_tags"), J.object_length(p()).alias("n_keys"))
 
 
 @query(f"SELECT input_id, unnest(CAST(j->'tags' AS VARCHAR[])) AS tag FROM {_INPUTS} WHERE (j->'tags') IS NOT NULL")
 def json_array_elements(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs(spark, d).withColumn("tags", J.get_path(p, "{tags}"))
+    rows = inputs(spark, d).withColumn("tags", J.get_path(p(), "{tags}"))
     return J.array_elements(rows, "tags", "tag", text=True).select("input_id", "tag")
 
 
@@ -71,19 +73,19 @@ def json_table(spark: SparkSession, d: str) -> DataFrame:
 def json_edit(spark: SparkSession, d: str) -> DataFrame:
     """Set, insert, delete, merge, strip nulls, canonical form."""
     return inputs(spark, d).select(
-        "input_id", J.set_(p, "{model,build}", "7").alias("set"), J.insert(p, "{tags,0}", '"new"').alias("ins"), J.delete(p, "topic").alias("del"), J.delete_path(p, "{tags,0}").alias("delp"),
-        J.merge(p, F.lit('{"x": null}')).alias("mrg"), J.strip_nulls(J.merge(p, F.lit('{"x": null}'))).alias("strip"), J.canonical(p).alias("canon"),
+        "input_id", J.set_(p(), "{model,build}", "7").alias("set"), J.insert(p(), "{tags,0}", '"new"').alias("ins"), J.delete(p(), "topic").alias("del"), J.delete_path(p(), "{tags,0}").alias("delp"),
+        J.merge(p(), F.lit('{"x": null}')).alias("mrg"), J.strip_nulls(J.merge(p(), F.lit('{"x": null}'))).alias("strip"), J.canonical(p()).alias("canon"),
     )
 
 
 @query(f"SELECT input_id, coalesce(CAST(j->>'session' AS BIGINT) > 50000, false) AS late, coalesce(j->'model'->>'name', '-') AS model FROM {_INPUTS}")
 def jsonpath_filter(spark: SparkSession, d: str) -> DataFrame:
-    return inputs(spark, d).select("input_id", J.path_exists(p, "$.session ? (@ > 50000)").alias("late"), F.coalesce(J.json_value(p, "$.model.name"), F.lit("-")).alias("model"))
+    return inputs(spark, d).select("input_id", J.path_exists(p(), "$.session ? (@ > 50000)").alias("late"), F.coalesce(J.json_value(p(), "$.model.name"), F.lit("-")).alias("model"))
 
 
 @query()
 def jsonpath_query(spark: SparkSession, d: str) -> DataFrame:
-    return inputs(spark, d).select("input_id", J.path_query_array(p, '$.tags[*] ? (@ starts with "t" || @ like_regex "x$")').alias("tags"), J.path_match(p, '$.topic == "law" && $.session > 10').alias("law"), J.path_query_first(p, "$.** ? (@.type() == \"number\")").alias("n"))
+    return inputs(spark, d).select("input_id", J.path_query_array(p(), '$.tags[*] ? (@ starts with "t" || @ like_regex "x$")').alias("tags"), J.path_match(p(), '$.topic == "law" && $.session > 10').alias("law"), J.path_query_first(p(), "$.** ? (@.type() == \"number\")").alias("n"))
 
 
 @query()
