@@ -323,7 +323,14 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
     if none_large:
         return out
 
-    mine = join_checked(rows, large.select("region", "n", "top"), "region")
+    # Copies of a vector: only the k + 1 smallest ids travel.  The last of them has
+    # k copies before it, so its k nearest are also those of every further copy.
+    mine = join_checked(rows, large.select("region", "n", "top"), "region").withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(1)))
+    copies = ["region", "h1", "h2"]
+    everyone = mine.dropDuplicates(["region", "id"])
+    by_id = Window.partitionBy(*copies).orderBy("id")
+    mine = materialise(everyone.withColumn("__r", F.row_number().over(by_id)).where(F.col("__r") <= k + 1), "core")
+    full = mine.where(F.col("__r") == k + 1).select(*copies, F.col("id").alias("last"))
     # The sample: smallest hashes of a share that gives about SAMPLE rows of each collection.
     share = mine.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (2 * SAMPLE) / F.col("n"))
     first = share.withColumn("__r", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))).where(F.col("__r") <= SAMPLE)
@@ -342,7 +349,12 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
     part = sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(cells, schema).distinct()
     win = Window.partitionBy("region", "id").orderBy(F.round("distance", 12), "near")
     merged = part.withColumn("__r", F.row_number().over(win)).where(F.col("__r") <= k).drop("__r")
-    return out.unionByName(merged)
+    if full.isEmpty():
+        return out.unionByName(merged)
+    merged = materialise(merged, "near")
+    theirs = merged.join(full.select("region", F.col("last").alias("id"), "h1", "h2"), ["region", "id"]).groupBy(*copies).agg(F.collect_list(F.struct("near", "distance")).alias("list"), F.first("id").alias("last"))
+    further = join_checked(rows.select("region", "id", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2")), theirs, copies).where("id > last").select("region", "id", F.inline("list")).distinct()
+    return out.unionByName(merged).unionByName(further)
 
 
 def _out(r: list, a: list, b: list, d: list) -> pa.RecordBatch:
