@@ -354,11 +354,11 @@ def object_keys(df: DataFrame, doc: str) -> DataFrame:
 
 
 def populate(df: DataFrame, doc: str, schema: str) -> DataFrame:
-    """JSONB_POPULATE_RECORD(SET): the record's fields as columns."""
+    """JSONB_POPULATE_RECORD(SET): the record's fields as columns; a NULL document gives no row."""
     one = F.from_json(doc, schema)
     many = F.from_json(doc, f"array<struct<{schema}>>")
     rows = F.when(F.ltrim(F.col(doc)).startswith("["), many).otherwise(F.array(one))
-    return df.select("*", F.inline(rows))
+    return df.where(F.col(doc).isNotNull()).select("*", F.inline(rows))
 
 
 def json_table(df: DataFrame, doc: str, path: str, columns: list[tuple[str, str, str]], ordinality: str | None = None) -> DataFrame:
