@@ -123,6 +123,9 @@ def search(data: np.ndarray, queries: np.ndarray, k: int, tables: int, n_probes:
     norms = (data * data).sum(1)
     center = data.mean(0)
     for t in range(tables if bits else 1):
+        # Inside one table no data row comes twice, so repeats are looked for only between tables.
+        cur_d, cur_i = np.full_like(top_d, np.inf), np.full_like(top_i, -1)
+        worst = np.full(len(queries), np.inf, np.float32)
         if bits:
             a = _directions(data.shape[1], bits, seed + 97 * t)
             p = (data - center) @ a.T
@@ -151,11 +154,23 @@ def search(data: np.ndarray, queries: np.ndarray, k: int, tables: int, n_probes:
                 for r in range(0, len(rows), 16384):
                     some = rows[r : r + 16384]
                     d = norms[some][None, :] - 2 * (queries[m] @ data[some].T)
+                    better = d.min(1) < worst[m]
+                    if not better.any():
+                        continue
+                    w, d = m[better], d[better]
                     if len(some) > keep:
                         o = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                        _merge(top_d, top_i, m, np.take_along_axis(d, o, 1), some[o], k)
+                        d, i = np.take_along_axis(d, o, 1), some[o]
                     else:
-                        _merge(top_d, top_i, m, d, np.broadcast_to(some, d.shape), k)
+                        i = np.broadcast_to(some, d.shape)
+                    d, i = np.concatenate((cur_d[w], d), 1), np.concatenate((cur_i[w], i), 1)
+                    o = np.argpartition(d, k - 1, axis=1)[:, :k]
+                    cur_d[w], cur_i[w] = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
+                    worst[w] = cur_d[w].max(1)
+        if t:
+            _merge(top_d, top_i, np.arange(len(queries)), cur_d, cur_i, k)
+        else:
+            top_d, top_i = cur_d, cur_i
     return np.where(np.isfinite(top_d), top_i, -1)
 
 
