@@ -40,6 +40,31 @@ def test_pii_forms(text, kind, part):
     assert text[got[0][1] : got[0][2]] == part
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("ring two one two five five five zero one three one now", "PHONE", "two one two five five five zero one three one"),
+        ("ring one two one two five five five zero one three one.", "PHONE", "one two one two five five five zero one three one"),
+        ("call (212) five five five 0131 now", "PHONE", "(212) five five five 0131"),
+        ("call two one two 555 0131", "PHONE", "two one two 555 0131"),
+        ("call two one two, five five five, zero one three one", "PHONE", "two one two, five five five, zero one three one"),
+        ("call 212-555-zero one three one", "PHONE", "212-555-zero one three one"),
+        ("ring +1 two one two five five five zero one three one", "PHONE", "+1 two one two five five five zero one three one"),
+        ("ring null drei null zwei drei eins zwei fünf acht vier bitte", "PHONE", "null drei null zwei drei eins zwei fünf acht vier"),
+        ("his SSN nine zero six two two five one one six, see", "ID_NUMBER", "nine zero six two two five one one six"),
+    ],
+)
+def test_pii_spelled_numbers(text, kind, part):
+    got = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in got] == [(kind, part)]
+    assert pii.mask(text) == text.replace(part, f"[{kind}]")
+
+
+@pytest.mark.parametrize("text", ["2125550131 without words", "phase one two 20250101 is open", "one, two, three, four, five, six, seven, eight, nine, zero", "kept near recall 1321. Two empirical 555 0131", "weights 576 and two five", "five five five 0131 is no whole number of ours 7"])
+def test_pii_spelled_decoys(text):
+    assert pii.find(text) == []
+
+
 @pytest.mark.parametrize("text", ["Checksum 8215-87549-469984 matches x.", "Ticket REF-2025-021053 blocks y.", "Build 1.50.611 of z failed with E-65560.", "Seen at 2025-07-17 13:21 in a.", "Handle @b pinged @c at noon.", "plus 12 home court", "Offsets 48 38 97 were kept", "Lane 7 of the road map for q is open.", "", None])
 def test_pii_decoys(text):
     assert pii.find(text) == []

@@ -41,13 +41,36 @@ _DISGUISE = re.compile(
     re.IGNORECASE,
 )
 _DIGIT_SET = frozenset(DIGIT_WORDS)
+_SPELLED = re.compile(rf"\b(?:{_D})(?:[\s-]+(?:{_D}))*\b", re.IGNORECASE)
+_GAP = r"(?:[\s-]+|,\s?|\)\s?|\s?\(|[./])"
+#: Spelled digits and figures side by side.
+_MIXED = re.compile(rf"(?<![\w./-])(?:{_D}|\d+)(?:{_GAP}(?:{_D}|\d+))+(?!\w)", re.IGNORECASE)
+_PIECE = re.compile(rf"{_D}|\d+", re.IGNORECASE)
+_BREAKS = str.maketrans(dict.fromkeys("-,.;:!?()[]/='\"", " "))
+
+
+def _short_runs(s: str) -> list[tuple[int, int]]:
+    """Spelled digits beside figures (or parts of one number) that make up a number of seven digits or more.
+
+    A lone word counts only with figures on both sides.
+    """
+    out = []
+    for m in _MIXED.finditer(s):
+        digits = sum(len(p) if p[0].isdigit() else 1 for p in _PIECE.findall(m.group()))
+        if digits < 7:
+            continue
+        for w in _SPELLED.finditer(s, m.start(), m.end()):
+            inside = m.start() < w.start() and w.end() < m.end() and re.search(r"\d\W*$", s[m.start() : w.start()]) and re.match(r"\W*\d", s[w.end() : m.end()])
+            if len(_PIECE.findall(w.group())) > 1 or inside:
+                out.append(w.span())
+    return out
 
 
 def _disguised(low: str) -> bool:
     """Whether a lower-case text may hold a disguise at all (cheap, never misses one)."""
     if "dot" in low or "at)" in low or "at]" in low or "at}" in low or " at " in low or "at " in low and "( at" in low:
         return True
-    return len(_DIGIT_SET.intersection(low.replace("-", " ").split())) > 1 or "\n" in low and " at\n" in low
+    return not _DIGIT_SET.isdisjoint(low.translate(_BREAKS).split()) or "\n" in low and " at\n" in low
 
 
 def normalise(text: str) -> tuple[str, list[int] | None]:
@@ -79,17 +102,20 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
     out: list[str] = []
     back: list[int] = []
     end = 0
-    for m in _DISGUISE.finditer(s):
-        out.append(s[end : m.start()])
-        back.extend(range(end, m.start()))
-        if m.lastgroup == "digits":
-            for w in re.finditer(_D, m.group(), re.IGNORECASE):
+    changes = [(*m.span(), m.lastgroup) for m in _DISGUISE.finditer(s)]
+    short = [(a, b, "digits") for a, b in _short_runs(s) if all(b <= x or a >= y for x, y, _ in changes)]
+    for start, stop, kind in sorted(changes + short):
+        part = s[start:stop]
+        out.append(s[end:start])
+        back.extend(range(end, start))
+        if kind == "digits":
+            for w in re.finditer(_D, part, re.IGNORECASE):
                 out.append(DIGIT_WORDS[w.group().lower()])
-                back.append(m.start() + w.start())
+                back.append(start + w.start())
         else:
-            out.append("@" if m.lastgroup == "at" else ".")
-            back.append(m.start() + len(m.group()) - len(m.group().lstrip()))
-        end = m.end()
+            out.append("@" if kind == "at" else ".")
+            back.append(start + len(part) - len(part.lstrip()))
+        end = stop
     if not end:
         return s, where if chars is not None else None
     out.append(s[end:])
@@ -106,6 +132,8 @@ _PHONE = re.compile(
     r"|\+[2-9]\d{0,2}(?:[ -]?\(?\d{1,4}\)?){2,5}"
     r")(?![\w-]|[./]\d)"
 )
+#: Runs of figures that may be a phone number where some of them were spelled.
+_FIGURES = re.compile(rf"(?<![\w./-])\+?\(?\d+(?:{_GAP}\d+)*(?![\w-]|[./]\d)")
 _NUMBER_LABEL = r"(?:ssn|social security|steuer-id|tax id|taxpayer|insurance|nino|passport|pass|id card|identity card|national id|ausweis|dni)[^\d\n]{0,14}?"
 _ID = re.compile(
     r"(?<![\w.+/-])(?:"
@@ -152,6 +180,41 @@ _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? (?P<name>(?:[A-Z]\. ?|[A-Z][
 _TITLED_LOW = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? (?P<name>{_KNOWN})\b", re.IGNORECASE)
 
 
+def _source_end(text: str, s: str, back: list[int], b: int) -> int:
+    """Where a find that ends before ``b`` ends in the source: a spelled digit ends with its word."""
+    end = back[b - 1] + 1
+    if s[b - 1].isdigit() and text[end - 1].isalpha():
+        stop = back[b] if b < len(back) else len(text)
+        while end < stop and (text[end].isalpha() or text[end] in INVISIBLE):
+            end += 1
+        while text[end - 1] in INVISIBLE:
+            end -= 1
+    return end
+
+
+def _bare_phones(s: str, spelled: list[bool]) -> Iterator[tuple[int, int]]:
+    """Phone numbers without the separators of ``_PHONE``, of spelled digits at least in part.
+
+    A run of 10 or 11 spelled digits is one; with figures in it, its parts must
+    lie as those of a national number (3-3-4, with 1 before, or any after a 0).
+    """
+    for m in _FIGURES.finditer(s):
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m.group())]
+        if not any(spelled[i] for a, b in groups for i in range(a, b)):
+            continue
+        whole = [(a, b) for a, b in groups if b - a in (10, 11) and all(spelled[a:b])]
+        if whole and not m.group().startswith("+1"):
+            yield from ((m.start() if a == groups[0][0] else a, b) for a, b in whole)
+            continue
+        digits = "".join(s[a:b] for a, b in groups)
+        places, n = set(), 0
+        for a, b in groups[:-1]:
+            n += b - a
+            places.add(n)
+        if len(digits) == 10 and (places <= {3, 6} or digits[0] == "0") or len(digits) == 11 and (digits[0] == "1" and places <= {1, 4, 7} or digits[0] == "0"):
+            yield m.span()
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) in ``text``, in order, without overlaps.
 
@@ -188,6 +251,11 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             add("ID_NUMBER", *m.span("id"))
         for m in _PHONE.finditer(s):
             add("PHONE", *m.span())
+    if back is not None:
+        spelled = [c.isdigit() and text[at].isalpha() for c, at in zip(s, back)]
+        if any(spelled):
+            for span in _bare_phones(s, spelled):
+                add("PHONE", *span)
     words = set(_WORDS.findall(low))
     family = any(w.endswith(_ENDS) and w not in NOT_FAMILY and len(w) > 5 for w in words)
     if family:
@@ -201,7 +269,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         for m in _TITLED_LOW.finditer(s):
             add("PERSON", *m.span("name"))
     if back is not None:
-        found = [(k, back[a], back[b - 1] + 1) for k, a, b in found]
+        found = [(k, back[a], _source_end(text, s, back, b)) for k, a, b in found]
     return sorted(found, key=lambda x: x[1])
 
 
