@@ -103,3 +103,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert group == {k: root(k) for k in keys}
     links, members = neardup.near_duplicates(df.limit(0), "input_id", ["text", "payload"])
     assert links.count() == 0 and members.count() == 0
+
+
+def test_frequent_words_shared_and_rare_ones_differing(spark):
+    # a third of the rows: pairs have a plain share of exactly 0.7, but 0.34 under TF-IDF weights
+    family = [(i, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 " + " ".join(f"own{i}x{j}" for j in range(3))) for i in range(200)]
+    # another third, just below: 13 and 4 of 17
+    below = [(1000 + i, "v0 v1 v2 v3 v4 v5 v6 v7 v8 v9 v10 v11 v12 " + " ".join(f"own{i}y{j}" for j in range(4))) for i in range(200)]
+    other = [(2000 + i, " ".join(f"x{i}z{j}" for j in range(17))) for i in range(200)]
+    df = spark.createDataFrame(family + below + other, "input_id long, text string").repartition(3)
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200)}
+    for wide in (neardup.WIDE, 10_000):  # the exact way, and the bands alone
+        links, _ = neardup.near_duplicates(df, "input_id", ["text"], wide=wide)
+        got = {(r["a"], r["b"]) for r in links.collect()}
+        assert not got - want and len(got) >= 0.995 * len(want)

@@ -2,10 +2,13 @@
 
 A record is a bag of shingles.  Improved consistent weighted sampling draws,
 for each of K hash functions, one (shingle, level) such that two records agree
-with the probability of their weighted Jaccard similarity under TF-IDF
-weights.  Samples are joined into bands; records that share a band are
-candidates, and each candidate pair is verified by the exact weighted Jaccard
-similarity of the counts.  Equal bags are one class from the start.
+with the probability of the weighted Jaccard similarity of their counts, which
+is the similarity that is asked for: the chance to become a candidate depends
+on it alone, not on how rare the shingles are.  (Under TF-IDF weights it has no
+lower bound: records that share frequent words and differ in rare ones fall far
+below the threshold.)  Samples are joined into bands; records that share a band
+are candidates, and each candidate pair is verified by the exact similarity.
+Equal bags are one class from the start.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from tidewell.session import materialise
 
 THRESHOLD = 0.7
-ROWS, BANDS = 6, 80
+#: A pair at the threshold is missed by all bands with the probability (1 - 0.7 ** 7) ** 90 = 0.0004.
+ROWS, BANDS = 7, 90
 #: Document frequencies below this share weigh alike, which bounds what is sent to the tasks.
 RARE = 0.002
 #: A band with more records goes the exact way by rare-shingle prefixes.
@@ -125,9 +129,8 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
 
 
-def band_rows(reps: DataFrame, idf: tuple[np.ndarray, np.ndarray, float], rows: int, bands: int) -> DataFrame:
+def band_rows(reps: DataFrame, rows: int, bands: int) -> DataFrame:
     """(band long, k, total): one row a record and band."""
-    known, weight, rare = idf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,10 +138,7 @@ def band_rows(reps: DataFrame, idf: tuple[np.ndarray, np.ndarray, float], rows:
                 continue
             h, n = _flat(b.column(1))
             c, _ = _flat(b.column(2))
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            w = c * (np.where(known[at] == h, weight[at], rare) if len(known) else rare)
-            starts = np.cumsum(n) - n
-            sampler = Sampler(h, w, starts)
+            sampler = Sampler(h, c.astype(np.float64), np.cumsum(n) - n)
             for band in range(bands):
                 key = np.full(b.num_rows, band, np.uint64)
                 for r in range(rows):
@@ -149,37 +149,46 @@ def band_rows(reps: DataFrame, idf: tuple[np.ndarray, np.ndarray, float], rows:
 
 
 def _pairs(rows: DataFrame, on: str, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) that share ``on`` and whose sizes allow the threshold."""
-    left = rows.select(on, F.col("k").alias("a"), F.col("total").alias("ta"))
-    right = rows.select(on, F.col("k").alias("b"), F.col("total").alias("tb"))
+    """Distinct pairs (a < b) that share ``on`` and whose sizes allow the threshold.
+
+    Where rows have a ``place`` in their record's order, what follows it must allow the threshold too.
+    """
+    place = F.col("place") if "place" in rows.columns else F.lit(0)
+    left = rows.select(on, F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - place).alias("la"))
+    right = rows.select(on, F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - place).alias("lb"))
     fits = (F.col("ta") >= F.col("tb") * threshold - 1e-9) & (F.col("tb") >= F.col("ta") * threshold - 1e-9)
+    fits &= F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (threshold / (1 + threshold)) - 1e-9
     return left.join(right, on).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
 def _prefixes(reps: DataFrame, idf: tuple[np.ndarray, np.ndarray, float], threshold: float) -> DataFrame:
-    """(token, k, total): the rarest shingles of each record, one of which any similar record shares."""
+    """(token, k, total, place): the rarest shingles of each record, one of which any similar record shares."""
     known, weight, rare = idf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tok: list[int] = []
             row: list[int] = []
+            place: list[int] = []
             for i, (h, c, total) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
                 hs = np.array(h, np.int64)
                 at = np.minimum(np.searchsorted(known, hs), max(len(known) - 1, 0))
                 w = np.where(known[at] == hs, weight[at], rare) if len(known) else np.full(len(hs), rare)
+                done = 0
                 need = total - math.ceil(threshold * total - 1e-9) + 1
                 for j in np.lexsort((hs, -w)).tolist():
                     for m in range(min(c[j], need)):
                         tok.append(int(_mix(np.array([h[j] & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(m)).view(np.int64)[0]))
                         row.append(i)
+                        place.append(done + m)
+                    done += c[j]
                     need -= c[j]
                     if need <= 0:
                         break
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(tok, pa.int64()), b.column(0).take(at), b.column(3).take(at)], names=["token", "k", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(tok, pa.int64()), b.column(0).take(at), b.column(3).take(at), pa.array(place, pa.int32())], names=["token", "k", "total", "place"])
 
-    return reps.select("k", "h", "c", "total").mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int")
+    return reps.select("k", "h", "c", "total").mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int, place int")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -222,16 +231,15 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     reps = all_bags.join(members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
     reps = materialise(reps, "reps")
     n = reps.count()
-    df_rows = reps.select(F.explode("h").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, RARE * n)).toPandas().sort_values("w")
-    known = df_rows["w"].to_numpy(np.int64)
-    weight = np.log1p(n / np.maximum(df_rows["n"].to_numpy(np.float64), 1.0))
-    idf = (known, weight, math.log1p(1 / RARE if n * RARE > 1 else max(n, 1)))
-    banded = materialise(band_rows(reps, idf, rows, bands), "bands")
+    banded = materialise(band_rows(reps, rows, bands), "bands")
     counts = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(banded.join(counts, "band"), "shared")
     found = _pairs(shared.where(F.col("n") <= wide), "band", threshold)
     hot = shared.where(F.col("n") > wide).select("k").distinct()
     if not hot.isEmpty():
+        df_rows = reps.select(F.explode("h").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, RARE * n)).toPandas().sort_values("w")
+        weight = np.log1p(n / np.maximum(df_rows["n"].to_numpy(np.float64), 1.0))
+        idf = (df_rows["w"].to_numpy(np.int64), weight, math.log1p(1 / RARE if n * RARE > 1 else max(n, 1)))
         exact = _prefixes(reps.join(hot, "k", "left_semi"), idf, threshold)
         found = found.unionByName(_pairs(exact, "token", threshold)).distinct()
     links = materialise(_verify(found, reps, threshold), "links") if n else df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
