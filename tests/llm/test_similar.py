@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidewell.llm import knn, neardup
+from tidewell.llm import knn, neardup, queries
 
 
 def brute(rows, regions, k):
@@ -117,3 +117,24 @@ def test_frequent_words_shared_and_rare_ones_differing(spark):
         links, _ = neardup.near_duplicates(df, "input_id", ["text"], wide=wide)
         got = {(r["a"], r["b"]) for r in links.collect()}
         assert not got - want and len(got) >= 0.995 * len(want)
+
+
+def test_star_only_for_exact_copies(spark, tmp_path):
+    ws = [f"w{i}" for i in range(12)]
+    r = random.Random(5)
+    rows = [(i, " ".join(r.sample(ws, 12)), None) for i in range(40)]  # one bag, other order
+    rows += [(100 + i, " ".join(ws).upper(), f'{{"n{i}": 1}}'.replace(f"n{i}", "w0")) for i in range(70)]  # exact copies, near
+    rows += [(200 + i, ", ".join(ws) + "!" * i, None) for i in range(40)]  # the same bag, punctuation
+    rows += [(300, " ".join(ws[:11]), None), (301, " ".join(ws), ""), (302, " ".join(ws), None)]  # near; NULL is not empty
+    df = spark.createDataFrame(rows, "input_id long, text string, payload string").repartition(3)
+    df.write.parquet(str(tmp_path / "atom_inputs.parquet"))
+    links, members = neardup.near_duplicates(df, "input_id", ["text", "payload"])
+    got = {tuple(x) for x in neardup.expand(links, members).collect()}
+    copies = set(range(101, 170))  # all but the first
+    keys = sorted(k for k, _, _ in rows)
+    bags = {k: neardup.bag([a, b]) for k, a, b in rows}
+    near = {(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if (bags[a] & bags[b]).total() >= 0.7 * (bags[a] | bags[b]).total()}
+    assert got == {p for p in near if not copies & set(p)} | {(100, k) for k in copies}
+    lead = {x["input_id"]: x["representative"] for x in queries.p6_members(spark, str(tmp_path)).collect()}
+    assert lead == {k: 100 if k in copies else k for k in keys}
+    assert {tuple(sorted((x, y))) for a, b in got for x in keys if lead[x] == a for y in keys if lead[y] == b if x != y} | {(x, y) for x in keys for y in keys if x < y and lead[x] == lead[y]} == near

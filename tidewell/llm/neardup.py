@@ -33,7 +33,7 @@ ROWS, BANDS = 7, 90
 RARE = 0.002
 #: A band with more records goes the exact way by rare-shingle prefixes.
 WIDE = 64
-#: A class of equal bags up to this size is expanded into all pairs, a larger one into a star.
+#: Up to this many exact copies of a record are expanded into all pairs, more into a star.
 EXPAND = 64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -52,14 +52,17 @@ def _number(s: str) -> int:
 
 
 def bags(df: DataFrame, key: str, columns: list[str], size: int = 1) -> DataFrame:
-    """(k, h array<long> sorted, c array<int>, total, same): ``same`` is equal for equal bags."""
+    """(k, h array<long> sorted, c array<int>, total, same, copy).
+
+    ``same`` is equal for equal bags, ``copy`` for exactly equal columns (NULL is not the empty string).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for b in batches:
             hs: list[int] = []
             cs: list[int] = []
-            off, total, same = [0], [], []
+            off, total, same, copy = [0], [], [], []
             for parts in zip(*[b.column(i + 1).to_pylist() for i in range(len(columns))]):
                 rows = []
                 for w, n in bag(list(parts), size).items():
@@ -75,11 +78,12 @@ def bags(df: DataFrame, key: str, columns: list[str], size: int = 1) -> DataFram
                 off.append(len(hs))
                 total.append(sum(n for _, n in rows))
                 same.append(hashlib.blake2b(np.array(rows, np.int64).tobytes(), digest_size=16).digest())
+                copy.append(hashlib.blake2b(repr(parts).encode(), digest_size=16).digest())
             o = pa.array(off, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(o, pa.array(hs, pa.int64())), pa.ListArray.from_arrays(o, pa.array(cs, pa.int32())), pa.array(total, pa.int32()), pa.array(same, pa.binary())], names=["k", "h", "c", "total", "same"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(o, pa.array(hs, pa.int64())), pa.ListArray.from_arrays(o, pa.array(cs, pa.int32())), pa.array(total, pa.int32()), pa.array(same, pa.binary()), pa.array(copy, pa.binary())], names=["k", "h", "c", "total", "same", "copy"])
 
     rows = df.where(F.col(key).isNotNull()).select(key, *columns)
-    return rows.mapInArrow(run, f"k {dict(df.dtypes)[key]}, h array<long>, c array<int>, total int, same binary").where("total > 0")
+    return rows.mapInArrow(run, f"k {dict(df.dtypes)[key]}, h array<long>, c array<int>, total int, same binary, copy binary").where("total > 0")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -219,7 +223,8 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     """Links between classes of equal bags, and the membership.
 
     Gives (a, b, similarity) with a < b, representatives of classes, and
-    (k, rep): every record with shingles and the smallest key of its class.
+    (k, rep, lead): every record with shingles, the smallest key of its class
+    and the smallest key of its exact copies (equal in all ``columns``).
     Repeated rows count once.  Records without words are in no class.  Bands
     that more than ``wide`` classes share are resolved exactly: any two of
     their records that reach the threshold share one of their rarest shingles.
@@ -227,7 +232,8 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     kind = dict(df.dtypes)[key]
     all_bags = materialise(bags(df, key, columns, size), "bags")
     classes = all_bags.groupBy("same").agg(F.min("k").alias("rep"))
-    members = materialise(all_bags.select("k", "same").distinct().join(classes, "same").select("k", "rep"), "members")
+    leads = all_bags.groupBy("same", "copy").agg(F.min("k").alias("lead"))
+    members = materialise(all_bags.select("k", "same", "copy").distinct().join(leads, ["same", "copy"]).join(classes, "same").select("k", "rep", "lead"), "members")
     reps = all_bags.join(members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
     reps = materialise(reps, "reps")
     n = reps.count()
@@ -249,21 +255,22 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
 def expand(links: DataFrame, members: DataFrame, largest: int = EXPAND) -> DataFrame:
     """Pairs of records (a, b), a < b, from class links and membership.
 
-    Classes of up to ``largest`` equal records are expanded into all pairs.  A
-    larger class is linked as a star, each copy with the representative, and
-    its links to other classes run through the representative, so that copies
-    never multiply; with the membership every pair follows.
+    All links between records that differ are given, also those of equal bags
+    (other word order, case or punctuation).  Only of exact copies, up to
+    ``largest`` are expanded; more are linked as a star, each copy with the
+    smallest key, which alone has their links to other records, so that copies
+    never multiply.  With the membership (k, lead) every pair follows: copies
+    of one lead are all pairs, and copies have the links of their lead.
     """
-    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
-    m = members.join(sizes, "rep")
-    small = m.where(F.col("n") <= largest).select("rep", "k")
-    ends = small.unionByName(m.where((F.col("n") > largest) & (F.col("k") == F.col("rep"))).select("rep", "k"))
+    sizes = members.groupBy("rep", "lead").agg(F.countDistinct("k").alias("n"))
+    m = members.join(sizes, ["rep", "lead"])
+    ends = m.where((F.col("n") <= largest) | (F.col("k") == F.col("lead"))).select("rep", "k")
     cross = links.join(ends.select(F.col("rep").alias("a"), F.col("k").alias("x")), "a").join(ends.select(F.col("rep").alias("b"), F.col("k").alias("y")), "b").select("x", "y")
-    many = small.join(sizes.where(F.col("n") > 1).select("rep"), "rep", "left_semi")
+    many = ends.join(ends.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "rep", "left_semi")
     inside = many.select("rep", F.col("k").alias("x")).join(many.select("rep", F.col("k").alias("y")), "rep").where("x < y").select("x", "y")
-    star = m.where((F.col("n") > largest) & (F.col("k") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("k").alias("y"))
+    star = m.where((F.col("n") > largest) & (F.col("k") != F.col("lead"))).select(F.col("lead").alias("x"), F.col("k").alias("y"))
     both = cross.unionByName(inside).unionByName(star)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def groups(links: DataFrame, members: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -286,5 +293,5 @@ def groups(links: DataFrame, members: DataFrame, max_rounds: int = 100) -> DataF
         if not changed:
             break
     degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    out = members.join(label.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
+    out = members.select("k", "rep").distinct().join(label.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
     return out.select("k", F.coalesce("l", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -78,6 +78,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand(links, members).select(F.col("a").alias("input_a"), F.col("b").alias("input_b"))
 
 
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every input with words and the smallest input of the same text and payload; copies have the pairs of it."""
+    configure(spark)
+    copies = neardup.bags(table(spark, d, "atom_inputs"), "input_id", ["text", "payload"]).select("copy", "k").distinct()
+    lead = copies.groupBy("copy").agg(F.min("k").alias("representative"))
+    return copies.join(lead, "copy").select(F.col("k").alias("input_id"), "representative").distinct()
+
+
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Group and number of links of every input with words."""
     links, members = _near(spark, d)
@@ -115,7 +123,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects(table(spark, d, "documents")).groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_masked, p3_found, p3_ranking, p5_found, p5_neighbours, p6_found, p6_groups, p7_containers, p8_found, p8_matches, p8_clean, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_masked, p3_found, p3_ranking, p5_found, p5_neighbours, p6_found, p6_members, p6_groups, p7_containers, p8_found, p8_matches, p8_clean, p9_found, p9_composition)}
 
 _TOP = """
 SELECT region_id, id AS atom_id, score, CAST(place AS INTEGER) AS place FROM (
