@@ -6,9 +6,10 @@ with the probability of the weighted Jaccard similarity of their counts, which
 is the similarity that is asked for: the chance to become a candidate depends
 on it alone, not on how rare the shingles are.  (Under TF-IDF weights it has no
 lower bound: records that share frequent words and differ in rare ones fall far
-below the threshold.)  Samples are joined into bands; records that share a band
-are candidates, and each candidate pair is verified by the exact similarity.
-Equal bags are one class from the start.
+below the threshold.)  Samples are joined into bands.  A band row carries one
+bit of each of 128 samples, so that two records that only share a band are told
+apart where they meet, and few pairs travel on to be verified by the exact
+similarity.  Equal bags are one class from the start.
 """
 
 from __future__ import annotations
@@ -21,18 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.session import materialise
 
 THRESHOLD = 0.7
-#: A pair at the threshold is missed by all bands with the probability (1 - 0.7 ** 7) ** 90 = 0.0004.
-ROWS, BANDS = 7, 90
-#: Document frequencies below this share weigh alike, which bounds what is sent to the tasks.
-RARE = 0.002
-#: A band with more records goes the exact way by rare-shingle prefixes.
+#: A pair at the threshold is missed by all bands with the probability (1 - 0.7 ** 6) ** 56 = 0.0009, one at 0.8 with 4e-8.
+ROWS, BANDS = 6, 56
+#: Samples of which a band row carries a bit, and how far below the expected agreement a pair may lie (4e-6 of them lie further).
+SKETCH, DEVIATIONS = 128, 4.5
+#: Shingles in more than this share of the records are counted in a broadcast table, which bounds it.
+FREQUENT = 0.002
+#: A band with more records is not enumerated: they go the exact way by rare-shingle prefixes.
 WIDE = 64
+#: Shingles of one draw.
+BLOCK = 2_000_000
 #: Up to this many exact copies of a record are expanded into all pairs, more into a star.
 EXPAND = 64
 
@@ -93,9 +99,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _uniform(h: np.ndarray, k: int, part: int) -> np.ndarray:
-    salt = ((k * 8 + part + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    return ((_mix(h + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+def _uniforms(h: np.ndarray, k: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers between 0 and 1 for each shingle, sample and part."""
+    salt = ((k * 4 + part + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    x = _mix(h + np.uint64(salt))
+    return ((x >> np.uint64(32)).astype(np.float64) + 0.5) / float(1 << 32), ((x & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / float(1 << 32)
 
 
 class Sampler:
@@ -116,83 +124,194 @@ class Sampler:
         self.h, self.log = h[order][new].view(np.uint64), np.log(weight[order][new])
 
     def draw(self, k: int) -> np.ndarray:
-        """Sample ``k`` of each record, as numbers: equal with the weighted Jaccard probability."""
-        h = self.h
-        r = -np.log(_uniform(h, k, 0) * _uniform(h, k, 1))
-        c = np.log(-np.log(_uniform(h, k, 2) * _uniform(h, k, 3)))
-        beta = _uniform(h, k, 4)
+        """Sample ``k`` of each record, as numbers: equal with the weighted Jaccard probability.
+
+        What a shingle and level have drawn is the same in every record, so the least drawn stands for both.
+        """
+        u1, u2 = _uniforms(self.h, k, 0)
+        u3, u4 = _uniforms(self.h, k, 1)
+        beta, _ = _uniforms(self.h, k, 2)
+        r = -np.log(u1 * u2)
         t = np.floor(self.log / r + beta)
-        order = np.argsort(c - r * (t - beta) - r, kind="stable")
-        place = np.empty(len(h), np.int32)
-        place[order] = np.arange(len(h), dtype=np.int32)
-        best = order[np.minimum.reduceat(place[self.inv], self.starts)]
-        return _mix(h[best] + _mix(t[best].astype(np.int64).view(np.uint64) + np.uint64(k + 1)))
+        drawn = np.log(-np.log(u3 * u4)) - r * (t - beta) - r
+        return _mix(np.minimum.reduceat(drawn[self.inv], self.starts).view(np.uint64) + np.uint64(k + 1))
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together up to ``most`` shingles: the more records, the fewer distinct shingles for each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += len(b.column(1).flatten())
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def band_rows(reps: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(band long, k, total): one row a record and band."""
+    """(band long, k, total, s0 long, s1 long): one row a record and band, with the record's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, n = _flat(b.column(1))
-            c, _ = _flat(b.column(2))
+        for t in _blocks(batches, BLOCK):
+            h, n = _flat(t.column(1).chunk(0))
+            c, _ = _flat(t.column(2).chunk(0))
             sampler = Sampler(h, c.astype(np.float64), np.cumsum(n) - n)
-            for band in range(bands):
-                key = np.full(b.num_rows, band, np.uint64)
-                for r in range(rows):
-                    key = _mix(key * np.uint64(31) + sampler.draw(band * rows + r))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(3)], names=["band", "k", "total"])
-
-    return reps.select("k", "h", "c", "total").mapInArrow(run, f"band long, k {dict(reps.dtypes)['k']}, total int")
+            keys = np.zeros((bands, t.num_rows), np.uint64)
+            sketch = np.zeros((SKETCH // 64, t.num_rows), np.uint64)
+            for i in range(max(bands * rows, SKETCH)):
+                x = sampler.draw(i)
+                if i < bands * rows:
+                    keys[i // rows] = _mix((keys[i // rows] + np.uint64(i // rows)) * np.uint64(31) + x)
+                if i < SKETCH:
+                    sketch[i // 64] |= (x & np.uint64(1)) << np.uint64(i % 64)
+            cols = [t.column(0).chunk(0), t.column(3).chunk(0), *(pa.array(x.view(np.int64)) for x in sketch)]
+            for key in keys:
+                for lo in range(0, t.num_rows, 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[lo : lo + 10_000]), *(x.slice(lo, 10_000) for x in cols)], names=["band", "k", "total", "s0", "s1"])
+
+    return reps.select("k", "h", "c", "total").mapInArrow(run, f"band long, k {dict(reps.dtypes)['k']}, total int, s0 long, s1 long")
+
+
+def _pair_up(threshold: float, wide: int):
+    """Band rows, sorted by band, to candidate pairs (a, b); each record of a wide band to (k, NULL)."""
+    least = SKETCH * (1 + threshold) / 2 - DEVIATIONS * math.sqrt(SKETCH * (1 + threshold) / 2 * (1 - threshold) / 2)
+
+    def candidates(t: pa.Table) -> pa.RecordBatch | None:
+        """Pairs of the whole bands of ``t``, whose width allows it."""
+        band, total = t.column(0).to_numpy(), t.column(2).to_numpy().astype(np.float64)
+        sketch = [t.column(i).to_numpy().view(np.uint64) for i in (3, 4)]
+        lefts, rights = [], []
+        at = np.arange(len(band))
+        for step in range(1, wide):
+            at = at[at + step < len(band)]
+            at = at[band[at] == band[at + step]]
+            if not len(at):
+                break
+            x, y = at, at + step
+            agree = SKETCH - sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch)
+            ok = (agree >= least) & (total[x] >= total[y] * threshold - 1e-9) & (total[y] >= total[x] * threshold - 1e-9)
+            lefts.append(x[ok])
+            rights.append(y[ok])
+        if not lefts or not sum(map(len, lefts)):
+            return None
+        k = t.column(1).combine_chunks()
+        a, b = k.take(pa.array(np.concatenate(lefts))), k.take(pa.array(np.concatenate(rights)))
+        less = pc.less(a, b)
+        out = pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a)], names=["a", "b"])
+        return out.filter(pc.not_equal(out.column(0), out.column(1)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        hot_band: int | None = None
+
+        def hot(k: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+            for c in k.chunks:
+                yield pa.RecordBatch.from_arrays([c, pa.nulls(len(c), c.type)], names=["a", "b"])
+
+        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Pairs and hot records of whole bands."""
+            band = t.column(0).to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+            size = np.diff(np.append(edge, len(band)))
+            broad = np.repeat(size > wide, size)
+            if broad.any():
+                yield from hot(t.filter(pa.array(broad)).column(1))
+                t = t.filter(pa.array(~broad))
+            if t.num_rows and (out := candidates(t)) is not None:
+                yield out
 
-def _pairs(rows: DataFrame, on: str, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) that share ``on`` and whose sizes allow the threshold.
-
-    Where rows have a ``place`` in their record's order, what follows it must allow the threshold too.
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            band = t.column(0).to_numpy()
+            if hot_band is not None:  # a wide band goes on
+                n = int(np.searchsorted(band != hot_band, True)) if (band != hot_band).any() else len(band)
+                yield from hot(t.column(1).slice(0, n))
+                t, band = t.slice(n), band[n:]
+                held = None
+                if not len(band):
+                    continue
+                hot_band = None
+            last = len(band) - int(np.argmax(band[::-1] != band[-1])) if (band != band[-1]).any() else 0
+            yield from close(t.slice(0, last)) if last else ()
+            held = t.slice(last)
+            if held.num_rows > wide:
+                hot_band = int(band[-1])
+                yield from hot(held.column(1))
+                held = None
+        if held is not None and held.num_rows:
+            yield from close(held)
+
+    return run
+
+
+def prefixes(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(token, k, total, place): the rarest shingles of each hot record, one of which any similar record shares.
+
+    Shingles are ordered by how many records have them.  The few frequent ones
+    are counted in a broadcast table, the others in a join, each of whose keys
+    has a bounded share of the rows.  ``token`` tells two size classes too:
+    similar records lie in one or in two neighbouring classes, and for each of
+    these a record's prefix is only as long as the smallest partner there asks.
     """
-    place = F.col("place") if "place" in rows.columns else F.lit(0)
-    left = rows.select(on, F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - place).alias("la"))
-    right = rows.select(on, F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - place).alias("lb"))
-    fits = (F.col("ta") >= F.col("tb") * threshold - 1e-9) & (F.col("tb") >= F.col("ta") * threshold - 1e-9)
-    fits &= F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (threshold / (1 + threshold)) - 1e-9
-    return left.join(right, on).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-
-
-def _prefixes(reps: DataFrame, idf: tuple[np.ndarray, np.ndarray, float], threshold: float) -> DataFrame:
-    """(token, k, total, place): the rarest shingles of each record, one of which any similar record shares."""
-    known, weight, rare = idf
+    n = reps.count()
+    freq = materialise(reps.select(F.explode("h").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "frequencies")
+    many = F.col("n") > F.lit(FREQUENT * n)
+    rows = hot.select("k", "total", F.explode(F.arrays_zip("h", "c")).alias("x")).select("k", "total", F.col("x.h").alias("w"), F.col("x.c").alias("c"))
+    frequent = F.broadcast(freq.where(many))
+    counted = rows.join(frequent, "w").unionByName(rows.join(frequent, "w", "left_anti").join(freq.where(~many), "w"))
+    ordered = counted.groupBy("k", "total").agg(F.array_sort(F.collect_list(F.struct("n", "w", "c"))).alias("x")).select("k", "total", F.col("x.w").alias("h"), F.col("x.c").alias("c"))
+    grow = 1 / threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tok: list[int] = []
             row: list[int] = []
             place: list[int] = []
-            for i, (h, c, total) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
-                hs = np.array(h, np.int64)
-                at = np.minimum(np.searchsorted(known, hs), max(len(known) - 1, 0))
-                w = np.where(known[at] == hs, weight[at], rare) if len(known) else np.full(len(hs), rare)
-                done = 0
-                need = total - math.ceil(threshold * total - 1e-9) + 1
-                for j in np.lexsort((hs, -w)).tolist():
-                    for m in range(min(c[j], need)):
-                        tok.append(int(_mix(np.array([h[j] & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(m)).view(np.int64)[0]))
+            for i, (total, h, c) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3)))):
+                own = math.floor(math.log(total) / math.log(grow) + 1e-9)
+                units = [(x, m) for x, n in zip(h, c) for m in range(n)]
+                for pair in (0, 1, 2):  # partners of the same, the next and the previous class
+                    other = own + (0, 1, -1)[pair]
+                    smallest = max(total * threshold, grow**other)
+                    need = total - math.ceil(threshold / (1 + threshold) * (total + smallest) - 1e-6) + 1
+                    key = np.uint64((min(own, other) * 2 + (pair > 0)) & 0xFFFFFFFF)
+                    for at, (x, m) in enumerate(units[: max(need, 0)]):
+                        tok.append((x, m, int(key)))
                         row.append(i)
-                        place.append(done + m)
-                    done += c[j]
-                    need -= c[j]
-                    if need <= 0:
-                        break
+                        place.append(at)
+            if not tok:
+                continue
+            x, m, key = (np.array(z, np.int64).view(np.uint64) for z in zip(*tok))
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(tok, pa.int64()), b.column(0).take(at), b.column(3).take(at), pa.array(place, pa.int32())], names=["token", "k", "total", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(_mix(x + m) + key).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place, pa.int32())], names=["token", "k", "total", "place"])
+
+    return ordered.mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int, place int")
 
-    return reps.select("k", "h", "c", "total").mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int, place int")
+
+def token_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) that share a token, whose sizes and the rest after it allow the threshold.
+
+    A token that many records have is spread over salts: one side is copied to each of them.
+    """
+    counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    salted = rows.join(counts, "token").withColumn("salts", F.ceil(F.col("m") / 4096).cast("int"))
+    left = salted.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - F.col("place")).alias("la"))
+    right = salted.select("token", F.pmod(F.xxhash64("k"), "salts").cast("int").alias("salt"), F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - F.col("place")).alias("lb"))
+    fits = (F.col("ta") >= F.col("tb") * threshold - 1e-9) & (F.col("tb") >= F.col("ta") * threshold - 1e-9)
+    fits &= F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (threshold / (1 + threshold)) - 1e-9
+    return left.join(right, ["token", "salt"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -236,20 +355,14 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     members = materialise(all_bags.select("k", "same", "copy").distinct().join(leads, ["same", "copy"]).join(classes, "same").select("k", "rep", "lead"), "members")
     reps = all_bags.join(members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
     reps = materialise(reps, "reps")
-    n = reps.count()
-    banded = materialise(band_rows(reps, rows, bands), "bands")
-    counts = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(banded.join(counts, "band"), "shared")
-    found = _pairs(shared.where(F.col("n") <= wide), "band", threshold)
-    hot = shared.where(F.col("n") > wide).select("k").distinct()
+    sorted_bands = band_rows(reps, rows, bands).repartition("band").sortWithinPartitions("band")
+    met = materialise(sorted_bands.mapInArrow(_pair_up(threshold, wide), f"a {kind}, b {kind}").distinct(), "candidates")
+    found = met.where("b IS NOT NULL")
+    hot = met.where("b IS NULL").select(F.col("a").alias("k"))
     if not hot.isEmpty():
-        df_rows = reps.select(F.explode("h").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, RARE * n)).toPandas().sort_values("w")
-        weight = np.log1p(n / np.maximum(df_rows["n"].to_numpy(np.float64), 1.0))
-        idf = (df_rows["w"].to_numpy(np.int64), weight, math.log1p(1 / RARE if n * RARE > 1 else max(n, 1)))
-        exact = _prefixes(reps.join(hot, "k", "left_semi"), idf, threshold)
-        found = found.unionByName(_pairs(exact, "token", threshold)).distinct()
-    links = materialise(_verify(found, reps, threshold), "links") if n else df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
-    return links, members
+        exact = materialise(prefixes(reps.join(hot, "k", "left_semi"), reps, threshold), "prefixes")
+        found = found.unionByName(token_pairs(exact, threshold)).distinct()
+    return materialise(_verify(found, reps, threshold), "links"), members
 
 
 def expand(links: DataFrame, members: DataFrame, largest: int = EXPAND) -> DataFrame:
@@ -292,6 +405,8 @@ def groups(links: DataFrame, members: DataFrame, max_rounds: int = 100) -> DataF
         label = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
     degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     out = members.select("k", "rep").distinct().join(label.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
     return out.select("k", F.coalesce("l", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
