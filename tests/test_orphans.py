@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
+from tidewell import session
 from tidewell.operators.orphans import Parent, Reference, cascade, direct_orphans, report
 
 T0 = datetime(2025, 1, 1)
@@ -52,3 +55,21 @@ def test_cascade_follows_chains_and_cycles(spark):
     got = {(x["record"], x["origin"], x["depth"]) for x in out.collect()}
     assert got == {('{"k0":11}', "direct", 0), ('{"k0":20,"k1":11}', "inherited", 1), ('{"k0":21,"k1":20}', "inherited", 2), ('{"k0":22,"k1":21}', "inherited", 3), ('{"k0":20,"k1":22}', "inherited", 4)}
     assert {(x["origin"], x["n"]) for x in report(out).groupBy("origin").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {("direct", 1), ("inherited", 4)}
+
+
+def test_hot_parents_and_the_cap(spark, monkeypatch):
+    atoms, gone, edges, a, f, e = frames(spark, seed=2)
+    p = Parent("atoms", a, "id", "ingested_at", f, "atom_id", "forgotten_at")
+    ref = Reference("edges", e, "src", p, ("src", "dst", "kind"), "src", "linked_at")
+    plain = {tuple(r) for r in direct_orphans(ref).collect()}
+    monkeypatch.setattr(session, "HOT_ROWS", 3)
+    assert {tuple(r) for r in direct_orphans(ref).collect()} == plain and plain
+    chain = spark.createDataFrame([(i + 1, i) for i in range(6)] + [(20 + i, 6) for i in range(9)], "id long, parent long")
+    every = Parent("nodes", chain.select("id"), "id")
+    refs = [Reference("nodes", chain, "parent", every, ("id", "parent"), "parent")]
+    got = sorted((r["depth"], r["record"]) for r in cascade(refs).collect())
+    assert [d for d, _ in got] == [0, 1, 2, 3, 4, 5, *[6] * 9]
+    with pytest.raises(RuntimeError):
+        cascade(refs, max_rounds=2)
+    assert cascade([Reference("nodes", chain.limit(0), "parent", every, ("id", "parent"), "parent")]).count() == 0
+    assert session.release(spark) > 0

@@ -13,10 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
-
-#: Copies of each doubtful parent, over which the references to it are spread.
-SALTS = 16
+from tidewell.session import hot_keys, join_hot, materialise
 
 
 @dataclass(frozen=True)
@@ -78,17 +75,17 @@ def direct_orphans(ref: Reference) -> DataFrame:
 
     The references are first reduced to their distinct keys (combined before
     the shuffle, so a much-used key is one row), the doubtful ones found, and
-    only then joined back, each doubtful key copied over salts so that no task
-    gets all references to one key.  A NULL reference refers to nothing and is
-    no orphan; a NULL time settles no comparison.  Repeated rows count once.
+    only then joined back; references to a hot key stay where they are and
+    meet its one broadcast row.  A NULL reference refers to nothing and is no
+    orphan; a NULL time settles no comparison.  Repeated rows count once.
     """
     made = F.col(ref.made_at) if ref.made_at else F.lit(None).cast("timestamp_ntz")
     names = list(dict.fromkeys([*ref.key, *ref.kept]))
     refs = ref.rows.where(F.col(ref.column).isNotNull()).select(*[F.col(c) for c in names], F.col(ref.column).alias("__k"), made.alias("__made"))
-    asked = refs.groupBy(F.col("__k").alias("k")).agg(F.min("__made").alias("first_made"))
-    state = parent_state(ref.parent, asked).select(F.col("k").alias("__k"), "reason", F.col("stored").alias("__stored"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    salted = refs.withColumn("__salt", F.pmod(F.xxhash64(*names, "__made"), F.lit(SALTS)).cast("int"))
-    out = salted.join(state, ["__k", "__salt"]).where(F.col("reason").isNotNull() | (F.col("__stored") > F.col("__made")))
+    asked = materialise(refs.groupBy(F.col("__k").alias("k")).agg(F.min("__made").alias("first_made"), F.count("*").alias("n")), "asked")
+    hot = hot_keys(asked.select(F.col("k").alias("__k"), "n"), ["__k"])
+    state = parent_state(ref.parent, asked.drop("n")).select(F.col("k").alias("__k"), "reason", F.col("stored").alias("__stored"))
+    out = join_hot(refs, state, ["__k"], hot).where(F.col("reason").isNotNull() | (F.col("__stored") > F.col("__made")))
     return out.select(*names, F.lit(ref.side).alias("side"), F.col("__made").alias("made_at"), F.coalesce("reason", F.lit("late")).alias("reason")).dropDuplicates([*ref.key, "side"])
 
 
@@ -101,46 +98,65 @@ def _keys(df: DataFrame, ref: Reference) -> Column:
     return F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(ref.key)]), {"ignoreNullFields": "false"})
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def cascade(refs: list[Reference], max_rounds: int = 10_000) -> DataFrame:
     """All orphaned records: (tbl, side, record, made_at, origin, depth).
 
     ``record`` is the row's key as JSON.  ``origin`` is ``direct`` (depth 0) or
     ``inherited``; a row and side that is both counts as direct, and an
     inherited one has its least depth.  Each round semi-joins the references
-    with the records orphaned in the round before; a cycle ends because known
-    records are taken out, and every round is written to the shared folder.
-    Tables without references give no rows.
+    that can inherit with the records orphaned in the round before, and writes
+    the newly orphaned ones to the shared folder; known records are taken out,
+    so that a cycle ends.  What each round reads are only the names of records
+    and parents, written once; the inherited rows themselves are made at the
+    end.  More than ``max_rounds`` rounds raise an error.  Tables without
+    references give no rows.
     """
+    children, parents = {r.child for r in refs}, {r.parent.name for r in refs}
     parts = []
     for r in refs:
         d = direct_orphans(r)
         parts.append(d.select(F.lit(r.child).alias("tbl"), "side", _keys(d, r).alias("record"), "made_at", _name(r).alias("id")))
-    level = parts[0]
-    for p in parts[1:]:
-        level = level.unionByName(p)
-    found = materialise(level.withColumn("origin", F.lit("direct")).withColumn("depth", F.lit(0)), "orphans")
-    frontier, parents = found, {r.parent.name for r in refs}
-    for depth in range(1, max_rounds):
-        spread = frontier.where(F.col("tbl").isin(sorted(parents)) & F.col("id").isNotNull()).select(F.col("tbl").alias("__p"), F.col("id").alias("__k")).distinct()
-        spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        parts = []
-        for r in refs:
-            rows = r.rows.where(F.col(r.column).isNotNull())
-            made = F.col(r.made_at) if r.made_at else F.lit(None).cast("timestamp_ntz")
-            rows = rows.select(
-                F.lit(r.child).alias("tbl"), F.lit(r.side).alias("side"), _keys(rows, r).alias("record"), made.alias("made_at"), _name(r).alias("id"),
-                F.lit(r.parent.name).alias("__p"), F.col(r.column).cast("string").alias("__k"), F.pmod(F.xxhash64(*r.key), F.lit(SALTS)).cast("int").alias("__salt"),
-            )
-            parts.append(rows.join(spread, ["__p", "__k", "__salt"], "left_semi").drop("__p", "__k", "__salt"))
-        level = parts[0]
-        for p in parts[1:]:
-            level = level.unionByName(p)
-        new = level.dropDuplicates(["tbl", "side", "record"]).join(found.select("tbl", "side", "record"), ["tbl", "side", "record"], "left_anti")
-        new = materialise(new.withColumn("origin", F.lit("inherited")).withColumn("depth", F.lit(depth)), "orphans")
-        if new.isEmpty():
+    direct = materialise(_union(parts).withColumn("origin", F.lit("direct")).withColumn("depth", F.lit(0)), "orphans")
+    able = [r for r in refs if r.parent.name in children]
+    if not able:
+        return direct.drop("id")
+    parts = []
+    for r in able:
+        rows = r.rows.where(F.col(r.column).isNotNull())
+        made = F.col(r.made_at) if r.made_at else F.lit(None).cast("timestamp_ntz")
+        names = [F.lit(r.child).alias("tbl"), F.lit(r.side).alias("side"), _keys(rows, r).alias("record"), made.alias("made_at"), _name(r).alias("id"), F.lit(r.parent.name).alias("__p"), F.col(r.column).cast("string").alias("__k")]
+        parts.append(rows.select(*names))
+    links = materialise(_union(parts), "links")
+    keys = ["__p", "__k"]
+    hot = hot_keys(links.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    steps = links.where(F.col("tbl").isin(sorted(parents)) & F.col("id").isNotNull()).select(*keys, F.col("tbl").alias("c"), F.col("id").alias("i"))
+    named = direct.where(F.col("tbl").isin(sorted(parents)) & F.col("id").isNotNull())
+    frontier = materialise(named.select(F.col("tbl").alias("__p"), F.col("id").alias("__k"), F.lit(1).alias("depth")).distinct(), "frontier")
+    levels = [frontier]
+    for depth in range(1, max_rounds + 1):
+        reached = join_hot(steps, frontier.select(*keys), keys, hot).select(F.col("c").alias("__p"), F.col("i").alias("__k")).distinct()
+        known = _read_all(levels).select(*keys)
+        frontier = materialise(reached.join(known, keys, "left_anti").withColumn("depth", F.lit(depth + 1)), "frontier")
+        if frontier.isEmpty():
             break
-        found, frontier = found.unionByName(new), new
-    return found.drop("id")
+        levels.append(frontier)
+    else:
+        raise RuntimeError(f"records are still orphaned after {max_rounds} rounds")
+    rows = join_hot(links, _read_all(levels), keys, hot).groupBy("tbl", "side", "record").agg(F.min("made_at").alias("made_at"), F.min("depth").alias("depth"))
+    inherited = rows.join(direct.select("tbl", "side", "record"), ["tbl", "side", "record"], "left_anti").withColumn("origin", F.lit("inherited"))
+    return direct.drop("id").unionByName(inherited)
+
+
+def _read_all(levels: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one scan, so that the plan does not grow."""
+    return levels[0].sparkSession.read.schema(levels[0].schema).parquet(*[f for t in levels for f in t.inputFiles()])
 
 
 def report(orphans: DataFrame, period: str = "month") -> DataFrame:

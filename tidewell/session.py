@@ -58,24 +58,81 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that ``materialise`` has written, by application.
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialise`` wrote in this application, and say how many.
+
+    To be called when the results that were built on them have been used;
+    frames that still read them fail afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A side of at most this many rows (of a few narrow columns) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A side may be broadcast up to so many bytes, estimated from a count and the width of its rows.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a value by type, where it has no fixed width or its elements are many.
+_WIDTHS = {"string": 64, "binary": 64, "array": 512, "map": 512, "struct": 128, "boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4}
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Estimated bytes of a row."""
+    return 16 + sum(_WIDTHS.get(f.dataType.typeName(), 8) for f in df.schema.fields)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only if a count shows that it is small.
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with ``small`` broadcast only if a count and its rows' width show that it is small.
 
-    Beyond ``max_rows`` it is a shuffled join, whose hot keys AQE splits.
+    Beyond ``max_bytes`` it is a shuffled join, whose hot keys AQE splits.  The
+    count stops at the bound; pass a written table, so that nothing runs twice.
     """
     from pyspark.sql import functions as F
 
-    if small.limit(max_rows + 1).count() <= max_rows:
+    most = max_bytes // row_bytes(small)
+    if small.limit(most + 1).count() <= most:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+#: A key is hot with more than this many rows, and more than this share of all.
+HOT_ROWS, HOT_SHARE = 100_000, 1e-5
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """Keys of ``counts`` (one row a key, ``n`` rows each) that no single task should get; None if there are none.
+
+    At most 1 / HOT_SHARE keys can be hot, so their table may be broadcast.
+    """
+    from pyspark.sql import functions as F
+
+    row = counts.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    least = max(HOT_ROWS, HOT_SHARE * (row["all"] or 0))
+    if (row["most"] or 0) <= least:
+        return None
+    return materialise(counts.where(F.col(n) > least).select(*keys), "hot")
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join with a side of unique keys; rows of hot keys stay where they are and meet broadcast rows."""
+    from pyspark.sql import functions as F
+
+    if hot is None:
+        return big.join(small, keys)
+    few = F.broadcast(hot)
+    there = big.join(F.broadcast(small.join(few, keys, "left_semi")), keys)
+    return there.unionByName(big.join(few, keys, "left_anti").join(small, keys))
