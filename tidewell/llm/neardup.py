@@ -36,7 +36,7 @@ SKETCH, DEVIATIONS = 128, 4.5
 #: Shingles in more than this share of the records are counted in a broadcast table, which bounds it.
 FREQUENT = 0.002
 #: A band with more records is not enumerated: they go the exact way by rare-shingle prefixes.
-WIDE = 64
+WIDE = 512
 #: Shingles of one draw.
 BLOCK = 2_000_000
 #: Up to this many exact copies of a record are expanded into all pairs, more into a star.
@@ -58,38 +58,45 @@ def _number(s: str) -> int:
 
 
 def bags(df: DataFrame, key: str, columns: list[str], size: int = 1) -> DataFrame:
-    """(k, h array<long> sorted, c array<int>, total, same, copy).
+    """(k, u array<long> sorted, total, same, copy).
 
-    ``same`` is equal for equal bags, ``copy`` for exactly equal columns (NULL is not the empty string).
+    ``u`` has a number for each occurrence of a shingle: its 56-bit number and
+    how many came before, in eight bits (from the 257th occurrence on it is
+    numbered anew), so that common occurrences are common numbers.  ``same``
+    is equal for equal bags, ``copy`` for exactly equal columns (NULL is not
+    the empty string).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for b in batches:
-            hs: list[int] = []
-            cs: list[int] = []
-            off, total, same, copy = [0], [], [], []
+            us: list[int] = []
+            off, same, copy = [0], [], []
             for parts in zip(*[b.column(i + 1).to_pylist() for i in range(len(columns))]):
-                rows = []
+                rows: list[int] = []
                 for w, n in bag(list(parts), size).items():
                     h = cache.get(w)
                     if h is None:
                         if len(cache) > 500_000:
                             cache.clear()
-                        h = cache[w] = _number(w)
-                    rows.append((h, n))
+                        h = cache[w] = _number(w) >> 8 << 8
+                    if n == 1:
+                        rows.append(h)
+                    else:
+                        rows.extend(range(h, h + min(n, 256)))
+                        for more in range(256, n, 256):
+                            g = _number(f"{w} {more}") >> 8 << 8
+                            rows.extend(range(g, g + min(n - more, 256)))
                 rows.sort()
-                hs.extend(h for h, _ in rows)
-                cs.extend(n for _, n in rows)
-                off.append(len(hs))
-                total.append(sum(n for _, n in rows))
+                us.extend(rows)
+                off.append(len(us))
                 same.append(hashlib.blake2b(np.array(rows, np.int64).tobytes(), digest_size=16).digest())
                 copy.append(hashlib.blake2b(repr(parts).encode(), digest_size=16).digest())
-            o = pa.array(off, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(o, pa.array(hs, pa.int64())), pa.ListArray.from_arrays(o, pa.array(cs, pa.int32())), pa.array(total, pa.int32()), pa.array(same, pa.binary()), pa.array(copy, pa.binary())], names=["k", "h", "c", "total", "same", "copy"])
+            u = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(us, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), u, pa.array(np.diff(off), pa.int32()), pa.array(same, pa.binary()), pa.array(copy, pa.binary())], names=["k", "u", "total", "same", "copy"])
 
     rows = df.where(F.col(key).isNotNull()).select(key, *columns)
-    return rows.mapInArrow(run, f"k {dict(df.dtypes)[key]}, h array<long>, c array<int>, total int, same binary, copy binary").where("total > 0")
+    return rows.mapInArrow(run, f"k {dict(df.dtypes)[key]}, u array<long>, total int, same binary, copy binary").where("total > 0")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -161,9 +168,11 @@ def band_rows(reps: DataFrame, rows: int, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _blocks(batches, BLOCK):
-            h, n = _flat(t.column(1).chunk(0))
-            c, _ = _flat(t.column(2).chunk(0))
-            sampler = Sampler(h, c.astype(np.float64), np.cumsum(n) - n)
+            u, n = _flat(t.column(1).chunk(0))
+            new = (u & 255) == 0  # the first occurrence of a shingle in its record
+            first = np.flatnonzero(new)
+            row_starts = (np.cumsum(new) - 1)[np.cumsum(n) - n]
+            sampler = Sampler(u[first], np.diff(np.append(first, len(u))).astype(np.float64), row_starts)
             keys = np.zeros((bands, t.num_rows), np.uint64)
             sketch = np.zeros((SKETCH // 64, t.num_rows), np.uint64)
             for i in range(max(bands * rows, SKETCH)):
@@ -172,17 +181,23 @@ def band_rows(reps: DataFrame, rows: int, bands: int) -> DataFrame:
                     keys[i // rows] = _mix((keys[i // rows] + np.uint64(i // rows)) * np.uint64(31) + x)
                 if i < SKETCH:
                     sketch[i // 64] |= (x & np.uint64(1)) << np.uint64(i % 64)
-            cols = [t.column(0).chunk(0), t.column(3).chunk(0), *(pa.array(x.view(np.int64)) for x in sketch)]
+            cols = [t.column(0).chunk(0), t.column(2).chunk(0), *(pa.array(x.view(np.int64)) for x in sketch)]
             for key in keys:
                 for lo in range(0, t.num_rows, 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[lo : lo + 10_000]), *(x.slice(lo, 10_000) for x in cols)], names=["band", "k", "total", "s0", "s1"])
 
-    return reps.select("k", "h", "c", "total").mapInArrow(run, f"band long, k {dict(reps.dtypes)['k']}, total int, s0 long, s1 long")
+    return reps.select("k", "u", "total").mapInArrow(run, f"band long, k {dict(reps.dtypes)['k']}, total int, s0 long, s1 long")
+
+
+def least_agreement(threshold: float) -> float:
+    """Bits of the sketches of two records that reach the threshold agree at least so often."""
+    share = (1 + threshold) / 2
+    return SKETCH * share - DEVIATIONS * math.sqrt(SKETCH * share * (1 - share))
 
 
 def _pair_up(threshold: float, wide: int):
-    """Band rows, sorted by band, to candidate pairs (a, b); each record of a wide band to (k, NULL)."""
-    least = SKETCH * (1 + threshold) / 2 - DEVIATIONS * math.sqrt(SKETCH * (1 + threshold) / 2 * (1 - threshold) / 2)
+    """Band rows, sorted by band, to candidate pairs (a, b); each record of a wide band to (k, NULL, its sketch)."""
+    least = least_agreement(threshold)
 
     def candidates(t: pa.Table) -> pa.RecordBatch | None:
         """Pairs of the whole bands of ``t``, whose width allows it."""
@@ -205,16 +220,17 @@ def _pair_up(threshold: float, wide: int):
         k = t.column(1).combine_chunks()
         a, b = k.take(pa.array(np.concatenate(lefts))), k.take(pa.array(np.concatenate(rights)))
         less = pc.less(a, b)
-        out = pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a)], names=["a", "b"])
+        none = pa.nulls(len(a), pa.int64())
+        out = pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), none, none], names=["a", "b", "s0", "s1"])
         return out.filter(pc.not_equal(out.column(0), out.column(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         hot_band: int | None = None
 
-        def hot(k: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-            for c in k.chunks:
-                yield pa.RecordBatch.from_arrays([c, pa.nulls(len(c), c.type)], names=["a", "b"])
+        def hot(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            for b in t.to_batches():
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.nulls(len(b), b.column(1).type), b.column(3), b.column(4)], names=["a", "b", "s0", "s1"])
 
         def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
             """Pairs and hot records of whole bands."""
@@ -223,7 +239,7 @@ def _pair_up(threshold: float, wide: int):
             size = np.diff(np.append(edge, len(band)))
             broad = np.repeat(size > wide, size)
             if broad.any():
-                yield from hot(t.filter(pa.array(broad)).column(1))
+                yield from hot(t.filter(pa.array(broad)))
                 t = t.filter(pa.array(~broad))
             if t.num_rows and (out := candidates(t)) is not None:
                 yield out
@@ -237,7 +253,7 @@ def _pair_up(threshold: float, wide: int):
             band = t.column(0).to_numpy()
             if hot_band is not None:  # a wide band goes on
                 n = int(np.searchsorted(band != hot_band, True)) if (band != hot_band).any() else len(band)
-                yield from hot(t.column(1).slice(0, n))
+                yield from hot(t.slice(0, n))
                 t, band = t.slice(n), band[n:]
                 held = None
                 if not len(band):
@@ -248,7 +264,7 @@ def _pair_up(threshold: float, wide: int):
             held = t.slice(last)
             if held.num_rows > wide:
                 hot_band = int(band[-1])
-                yield from hot(held.column(1))
+                yield from hot(held)
                 held = None
         if held is not None and held.num_rows:
             yield from close(held)
@@ -266,12 +282,14 @@ def prefixes(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     these a record's prefix is only as long as the smallest partner there asks.
     """
     n = reps.count()
-    freq = materialise(reps.select(F.explode("h").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "frequencies")
+    shingle = lambda u: u - u.bitwiseAND(F.lit(255))
+    first = F.transform(F.filter("u", lambda u: u.bitwiseAND(F.lit(255)) == 0), shingle)
+    freq = materialise(reps.select(F.explode(first).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "frequencies")
     many = F.col("n") > F.lit(FREQUENT * n)
-    rows = hot.select("k", "total", F.explode(F.arrays_zip("h", "c")).alias("x")).select("k", "total", F.col("x.h").alias("w"), F.col("x.c").alias("c"))
+    rows = hot.select("k", "total", "s0", "s1", F.explode("u").alias("x")).withColumn("w", shingle(F.col("x")))
     frequent = F.broadcast(freq.where(many))
     counted = rows.join(frequent, "w").unionByName(rows.join(frequent, "w", "left_anti").join(freq.where(~many), "w"))
-    ordered = counted.groupBy("k", "total").agg(F.array_sort(F.collect_list(F.struct("n", "w", "c"))).alias("x")).select("k", "total", F.col("x.w").alias("h"), F.col("x.c").alias("c"))
+    ordered = counted.groupBy("k", "total", "s0", "s1").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("x")).select("k", "total", F.col("x.x").alias("u"), "s0", "s1")
     grow = 1 / threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,63 +297,48 @@ def prefixes(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             tok: list[int] = []
             row: list[int] = []
             place: list[int] = []
-            for i, (total, h, c) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3)))):
+            for i, (total, u) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2)))):
                 own = math.floor(math.log(total) / math.log(grow) + 1e-9)
-                units = [(x, m) for x, n in zip(h, c) for m in range(n)]
                 for pair in (0, 1, 2):  # partners of the same, the next and the previous class
                     other = own + (0, 1, -1)[pair]
                     smallest = max(total * threshold, grow**other)
                     need = total - math.ceil(threshold / (1 + threshold) * (total + smallest) - 1e-6) + 1
                     key = np.uint64((min(own, other) * 2 + (pair > 0)) & 0xFFFFFFFF)
-                    for at, (x, m) in enumerate(units[: max(need, 0)]):
-                        tok.append((x, m, int(key)))
+                    for at, x in enumerate(u[: max(need, 0)]):
+                        tok.append((x, int(key)))
                         row.append(i)
                         place.append(at)
             if not tok:
                 continue
-            x, m, key = (np.array(z, np.int64).view(np.uint64) for z in zip(*tok))
+            x, key = (np.array(z, np.int64).view(np.uint64) for z in zip(*tok))
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(_mix(x + m) + key).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place, pa.int32())], names=["token", "k", "total", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(_mix(x) + key).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place, pa.int32()), b.column(3).take(at), b.column(4).take(at)], names=["token", "k", "total", "place", "s0", "s1"])
 
-    return ordered.mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int, place int")
+    return ordered.mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int, place int, s0 long, s1 long")
 
 
 def token_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) that share a token, whose sizes and the rest after it allow the threshold.
+    """Distinct pairs (a < b) that share a token, whose sizes, sketches and the rest after it allow the threshold.
 
     A token that many records have is spread over salts: one side is copied to each of them.
     """
     counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     salted = rows.join(counts, "token").withColumn("salts", F.ceil(F.col("m") / 4096).cast("int"))
-    left = salted.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - F.col("place")).alias("la"))
-    right = salted.select("token", F.pmod(F.xxhash64("k"), "salts").cast("int").alias("salt"), F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - F.col("place")).alias("lb"))
+    left = salted.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - F.col("place")).alias("la"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
+    right = salted.select("token", F.pmod(F.xxhash64("k"), "salts").cast("int").alias("salt"), F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - F.col("place")).alias("lb"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
     fits = (F.col("ta") >= F.col("tb") * threshold - 1e-9) & (F.col("tb") >= F.col("ta") * threshold - 1e-9)
     fits &= F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (threshold / (1 + threshold)) - 1e-9
+    fits &= F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1"))) <= SKETCH - least_agreement(threshold)
     return left.join(right, ["token", "salt"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the threshold."""
-    left = reps.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("c").alias("ca"))
-    right = reps.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("c").alias("cb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep: list[int] = []
-            sim: list[float] = []
-            for i, (ha, ca, hb, cb) in enumerate(zip(*[b.column(j).to_pylist() for j in range(2, 6)])):
-                x = dict(zip(ha, ca))
-                common = sum(min(x[h], n) for h, n in zip(hb, cb) if h in x)
-                s = common / (sum(ca) + sum(cb) - common)
-                if s >= threshold - 1e-12:
-                    keep.append(i)
-                    sim.append(s)
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
-
-    kind = dict(reps.dtypes)["k"]
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ca", "hb", "cb")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    left = reps.select(F.col("k").alias("a"), F.col("u").alias("ua"))
+    right = reps.select(F.col("k").alias("b"), F.col("u").alias("ub"))
+    common = F.size(F.array_intersect("ua", "ub"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.size("ua") + F.size("ub") - common)).alias("similarity"))
+    return both.where(F.col("similarity") >= threshold - 1e-12)
 
 
 def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: float = THRESHOLD, size: int = 1, rows: int = ROWS, bands: int = BANDS, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
@@ -356,11 +359,12 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     reps = all_bags.join(members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
     reps = materialise(reps, "reps")
     sorted_bands = band_rows(reps, rows, bands).repartition("band").sortWithinPartitions("band")
-    met = materialise(sorted_bands.mapInArrow(_pair_up(threshold, wide), f"a {kind}, b {kind}").distinct(), "candidates")
-    found = met.where("b IS NOT NULL")
-    hot = met.where("b IS NULL").select(F.col("a").alias("k"))
+    met = sorted_bands.mapInArrow(_pair_up(threshold, wide), f"a {kind}, b {kind}, s0 long, s1 long").dropDuplicates(["a", "b"])
+    met = materialise(met, "candidates")
+    found = met.where("b IS NOT NULL").select("a", "b")
+    hot = met.where("b IS NULL").select(F.col("a").alias("k"), "s0", "s1")
     if not hot.isEmpty():
-        exact = materialise(prefixes(reps.join(hot, "k", "left_semi"), reps, threshold), "prefixes")
+        exact = materialise(prefixes(reps.join(hot, "k"), reps, threshold), "prefixes")
         found = found.unionByName(token_pairs(exact, threshold)).distinct()
     return materialise(_verify(found, reps, threshold), "links"), members
 
