@@ -16,7 +16,6 @@ from tidewell.llm import leaks, packing, pii, subjects
         ("Call +44 (0)20 7946 0068 soon", "PHONE", "+44 (0)20 7946 0068"),
         ("tel=(212) 555-0131 ext. 4", "PHONE", "(212) 555-0131"),
         ("ring 030/23125-842 if late", "PHONE", "030/23125-842"),
-        ("ring two one two five five five zero one three one now", "PHONE", None),
         ("quoted SSN: 906 22 5116 twice", "ID_NUMBER", "906 22 5116"),
         ("form says social security 931460399, see", "ID_NUMBER", "931460399"),
         ("gave NI number QQ 94 80 42 C for", "ID_NUMBER", "QQ 94 80 42 C"),
@@ -33,13 +32,37 @@ from tidewell.llm import leaks, packing, pii, subjects
 )
 def test_pii_forms(text, kind, part):
     got = pii.find(text)
-    if part is None:
-        assert pii.normalise(text)[0].count("2125550131") == 1
-        return
     assert [k for k, _, _ in got] == [kind]
     assert text[got[0][1] : got[0][2]] == part
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Contact Jane Smith or Robert Johnson today", [("PERSON", "Jane Smith"), ("PERSON", "Robert Johnson")]),
+        ("my name is Wei Zhang", [("PERSON", "Wei Zhang")]),
+        ("Maria Garcia", [("PERSON", "Maria Garcia")]),
+        ("ask John O'Brien about it", [("PERSON", "John O'Brien")]),
+        ("Dear Mr. Okonkwo, thanks", [("PERSON", "Okonkwo")]),
+        ("Best regards,\nPriya Raghavan", [("PERSON", "Priya Raghavan")]),
+        ("Tom van der Berg wrote this", [("PERSON", "Tom van der Berg")]),
+        ("We spoke with Amina Yusuf, who lives at 12 Maple Grove Court.", [("PERSON", "Amina Yusuf"), ("ADDRESS", "12 Maple Grove Court")]),
+        ("it stands at 742 evergreen terrace", [("ADDRESS", "742 evergreen terrace")]),
+        ("call five five five five five five five five five five", [("PHONE", "five five five five five five five five five five")]),
+        ("call five, five, five, zero, one, three, one, two, two, two now", [("PHONE", "five, five, five, zero, one, three, one, two, two, two")]),
+        ("write jane\tat\texample.com", [("EMAIL", "jane\tat\texample.com")]),
+        ("DE89 3704 0044 0532 0130 00 is the account", []),
+        ("Miss Universe and Mr Robot", []),
+        ("Place Dr Street", []),
+        ("New York is big and San Francisco too", []),
+        ("Project Apollo Zenith moved Region Delta Archive", []),
+        ("shipped 3 rows drive and 5 close calls", []),
+    ],
+)
+def test_pii_unseen(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)] == want
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "part"),
     [
