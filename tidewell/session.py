@@ -49,15 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a re-run of all
     stages before.  Also pins what a non-deterministic plan produced.
+    ``rows_per_file`` bounds what a reader holds at once where rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
