@@ -61,7 +61,8 @@ _MIXED = re.compile(rf"(?<![\w./-])(?:{_D}|\d+)(?:{_GAP}(?:{_D}|\d+))+(?!\w)", r
 _PIECE = re.compile(rf"{_D}|\d+", re.IGNORECASE)
 #: Digit words with a comma after each.
 _LISTED = re.compile(rf"(?<![\w-])(?:{_D})(?:, ?(?:{_D})){{9,10}}(?!,? ?(?:{_D})|\w)", re.IGNORECASE)
-_AT_WORD = re.compile(r"(?<![^\W_])at(?![^\W_])")
+#: A written-out ``@``: in brackets, or between words of which the last has a dot.
+_AT_FORM = re.compile(r"[\[({]\s*at\s*[\])}]|(?<=\s)at\s+[a-z0-9][a-z0-9-]*(?:\.[a-z]|\s*[\[({]\s*dot|\s+dot\s)")
 _BREAKS = str.maketrans(dict.fromkeys("-,.;:!?()[]/='\"", " "))
 
 
@@ -89,11 +90,13 @@ def _short_runs(s: str) -> list[tuple[int, int]]:
     return out
 
 
-def _disguised(low: str) -> bool:
-    """Whether a lower-case text may hold a disguise at all (cheap, never misses one)."""
-    if "dot" in low or "at" in low and _AT_WORD.search(low):
-        return True
-    return not _DIGIT_SET.isdisjoint(low.translate(_BREAKS).split())
+def _disguised(low: str, words: set[str]) -> bool:
+    """Whether a lower-case text with these words may hold a disguise at all (cheap, never misses one)."""
+    return "dot" in low or "at" in low and _AT_FORM.search(low) is not None or not _DIGIT_SET.isdisjoint(words)
+
+
+def _words_of(low: str) -> set[str]:
+    return set(low.translate(_BREAKS).split())
 
 
 def normalise(text: str) -> tuple[str, list[int] | None]:
@@ -120,7 +123,8 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
         if len(chars) == len(text) and "".join(chars) == text:
             chars = None
     s = text if chars is None else "".join(chars)
-    if not _disguised(s.lower()):
+    low = s.lower()
+    if not _disguised(low, _words_of(low)):
         return s, where if chars is not None else None
     out: list[str] = []
     back: list[int] = []
@@ -207,6 +211,8 @@ _AFTER = (
 )
 
 
+#: Two capitalised words side by side, an initial, or a title: without any of these only lower-case names are possible.
+_NAME_LIKE = re.compile(rf"[A-ZÀ-ÞŒŠŽĀ-Ž][\w'’.-]*,? (?:\w\. ?)*(?:(?:{'|'.join(sorted(PARTICLES))}) )*[A-ZÀ-ÞŒŠŽĀ-Ž]|(?i:\b(?:{'|'.join(TITLES)})\b)")
 #: Between a name and a find of another type in one record.
 _NEXT_FIELD = re.compile(r"(?:\s*[;,|/(<:-]+\s*|\s*\n\s*)(?:[a-z-]{2,9}\s*[=:]\s*)?", re.IGNORECASE)
 #: Between a street address and its town.
@@ -438,8 +444,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         if any(spelled):
             for span in _bare_phones(s, spelled):
                 add("PHONE", *span)
-    for span in persons(s, list(taken)):
-        add("PERSON", *span)
+    if _NAME_LIKE.search(s) or "name" in low or any(w.endswith(FAMILY_ENDINGS) and len(w) > 4 for w in _words_of(low)):
+        for span in persons(s, list(taken)):
+            add("PERSON", *span)
     if back is not None:
         found = [(k, back[a], _source_end(text, s, back, b)) for k, a, b in found]
     return sorted(found, key=lambda x: x[1])
