@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import fusion_rank, knn, leaks, neardup, packing, pii, subjects, topn
-from tidewell.session import configure, table
+from tidewell.session import configure, join_checked, materialise, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +36,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every text with typed placeholders."""
     configure(spark)
-    return pii.mask_pii(_texts(spark, d).dropDuplicates(["tbl", "row_id"]), "text", "masked").select("tbl", "row_id", "masked")
+    rows, key = _texts(spark, d), ["tbl", "row_id"]
+    # Only texts whose id occurs more than once are shuffled to drop the repeated ones.
+    twice = materialise(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
+    once = join_checked(rows, twice, key, "left_anti").unionByName(join_checked(rows, twice, key, "left_semi").dropDuplicates(key))
+    return pii.mask_pii(once, "text", "masked").select(*key, "masked")
 
 
 def _ranking(spark: SparkSession, d: str, top: int | None) -> DataFrame:
