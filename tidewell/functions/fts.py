@@ -1,8 +1,11 @@
 """Full-text search: tokenizer, stemmer, tsvector, tsquery, match and rank.
 
-A tsvector is array<struct<lex string, pos array<int>>>, sorted by lexeme.  A
-tsquery is parsed on the driver and compiled to a Column over it, so that
+A tsvector is array<struct<lex string, pos array<int>>>, sorted by lexeme; a
+position has its weight in the bits above the 14 of the place (D is 0, A is 3).
+A tsquery is parsed on the driver and compiled to a Column over it, so that
 matching and ranking stay in the JVM; only tokenizing runs in Python.
+``Index`` stores the postings of a table once, so that a query reads the few
+lexemes it names and tokenizes nothing.
 """
 
 from __future__ import annotations
@@ -10,16 +13,22 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import join_checked, materialise
+
 MAX_POSITION = 16_383
 TSVECTOR = "array<struct<lex:string,pos:array<int>>>"
 # English stop words and rank weights.
 STOP = frozenset("i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split())
 WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+_LETTERS = "DCBA"  # by the number in a position's upper bits
 
 _WORD = re.compile(r"[^\W_]+(?:['’.][^\W\d_]+)*")
 _VOWEL = "aeiouy"
@@ -280,10 +289,22 @@ def numnode(q) -> int:
     return 0 if q is None else 1 if q[0] == "lex" else 1 + sum(numnode(x) for x in q[1:] if isinstance(x, tuple))
 
 
+def _place(p: Column) -> Column:
+    return p.bitwiseAND(F.lit(MAX_POSITION))
+
+
+def _weight(p: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(WEIGHT[x]) for x in _LETTERS]), F.shiftright(p, 14) + 1)
+
+
 def _positions(v: Column, leaf) -> Column:
-    _, lex, prefix, _ = leaf
+    """Positions of a query word, of the weights it asks for; those of a prefix come once, in order."""
+    _, lex, prefix, flags = leaf
     hit = (lambda e: e["lex"].startswith(lex)) if prefix else (lambda e: e["lex"] == lex)
-    return F.flatten(F.transform(F.filter(v, hit), lambda e: e["pos"]))
+    out = F.flatten(F.transform(F.filter(v, hit), lambda e: e["pos"]))
+    if flags:
+        out = F.filter(out, lambda p: F.shiftright(p, 14).isin([_LETTERS.index(x) for x in flags]))
+    return F.array_sort(F.array_distinct(out)) if prefix else out
 
 
 def _ends(v: Column, q) -> Column:
@@ -293,90 +314,240 @@ def _ends(v: Column, q) -> Column:
     if q[0] == "phrase":
         a, b = _ends(v, q[1]), _ends(v, q[2])
         n = q[3]
-        return F.filter(b, lambda p: F.array_contains(a, p - n))
+        return F.filter(b, lambda p: F.exists(a, lambda x: _place(x) + n == _place(p)))
     raise ValueError("a phrase holds only words")
 
 
-def match(v: Column, q) -> Column:
-    """``v @@ q``; an empty query matches nothing.  All lexemes have weight D."""
+def overflowed(v: Column) -> Column:
+    """Whether words beyond the last position were put there, so that phrases cannot be told."""
+    return F.aggregate(v, F.lit(0), lambda a, e: a + F.size(F.filter(e["pos"], lambda p: _place(p) == MAX_POSITION))) > 1
+
+
+def match(v: Column, q, over: Column | None = None) -> Column:
+    """``v @@ q``; an empty query matches nothing, and a lexeme without positions (``strip``) is not found.
+
+    A phrase over a vector with more words than positions is an error.
+    """
     if q is None:
         return F.lit(False)
     kind = q[0]
     if kind == "lex":
-        if q[3] and "D" not in q[3]:
-            return F.lit(False)
-        return F.exists(v, (lambda e: e["lex"].startswith(q[1])) if q[2] else (lambda e: e["lex"] == q[1]))
+        return F.size(_positions(v, q)) > 0
     if kind == "not":
-        return ~match(v, q[1])
+        return ~match(v, q[1], over)
     if kind == "phrase":
-        return F.size(_ends(v, q)) > 0
-    a, b = match(v, q[1]), match(v, q[2])
+        bad = F.raise_error(F.lit("tsvector position overflow: phrases cannot be told")).cast("boolean")
+        return F.when(overflowed(v) if over is None else over, bad).otherwise(F.size(_ends(v, q)) > 0)
+    a, b = match(v, q[1], over), match(v, q[2], over)
     return a & b if kind == "and" else a | b
 
 
 def _leaves(q) -> list:
+    """Words of a query that are not negated."""
     if q is None or q[0] == "not":
         return []
     return [q] if q[0] == "lex" else [x for p in q[1:] if isinstance(p, tuple) for x in _leaves(p)]
 
 
-def _normed(rank: Column, v: Column, norm: int) -> Column:
-    n = F.aggregate(v, F.lit(0), lambda a, e: a + F.size(e["pos"])).cast("double")
-    u = F.size(v).cast("double")
-    for bit, by in ((1, 1 + F.log(n)), (2, n), (8, u), (16, 1 + F.log(u))):
+def _words_of(q) -> list:
+    """All words of a query."""
+    return [] if q is None else [q] if q[0] == "lex" else [x for p in q[1:] if isinstance(p, tuple) for x in _words_of(p)]
+
+
+def _normed(rank: Column, v: Column, norm: int, sizes: tuple[Column, Column] | None = None) -> Column:
+    n, u = sizes or (F.aggregate(v, F.lit(0), lambda a, e: a + F.size(e["pos"])), F.size(v))
+    n, u = n.cast("double"), u.cast("double")
+    for bit, least, size, by in ((1, 1, n, 1 + F.log(n)), (2, 0, n, n), (8, 0, u, u), (16, 1, u, 1 + F.log(u))):
         if norm & bit:
-            rank = F.when(n > 0, rank / by).otherwise(rank)
+            rank = F.when(size > least, rank / by).otherwise(rank)
     return rank / (rank + 1) if norm & 32 else rank
 
 
-def ts_rank(v: Column, q, norm: int = 0) -> Column:
-    """Sum over the query's words of weight x (1 + ln(1 + tf)); negated words are left out."""
+def ts_rank(v: Column, q, norm: int = 0, sizes: tuple[Column, Column] | None = None) -> Column:
+    """Sum over the query's words of their positions' weights x (1 + ln(1 + tf)); negated words are left out."""
     rank = F.lit(0.0)
-    for leaf in dict.fromkeys(_leaves(q)):
-        tf = F.size(_positions(v, leaf))
-        rank = rank + F.when(tf > 0, WEIGHT["D"] * (1 + F.log(1.0 + tf))).otherwise(0.0)
-    return _normed(rank, v, norm)
+    for leaf in _leaves(q):
+        at = _positions(v, leaf)
+        rank = rank + F.aggregate(at, F.lit(0.0), lambda a, p: a + _weight(p)) * (1 + F.log(1.0 + F.size(at)))
+    return _normed(rank, v, norm, sizes)
 
 
-def ts_rank_cd(v: Column, q, norm: int = 0) -> Column:
-    """Best cover: summed weights of the query's words over the least window that has them all."""
-    leaves = [(x[1], x[2]) for x in dict.fromkeys(_leaves(q))]
+def ts_rank_cd(v: Column, q, norm: int = 0, sizes: tuple[Column, Column] | None = None) -> Column:
+    """Best cover: summed weights inside a window that has all the query's words, over the window's length."""
+    leaves = _leaves(q)
+    weight = [WEIGHT[x] for x in _LETTERS]
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        def one(vec):
-            if vec is None or not leaves:
+        def one(at):
+            if at is None or not len(at) or any(not len(x) for x in at):
                 return 0.0
-            entries = [(e["lex"], e["pos"]) if isinstance(e, dict) else (e[0], e[1]) for e in vec]
-            hits = sorted((int(p), i) for have, at in entries for i, (lex, pre) in enumerate(leaves) if (have.startswith(lex) if pre else have == lex) for p in at)
-            seen: dict[int, int] = {}
-            best, lo = 0.0, 0
-            for at, (p, i) in enumerate(hits):
-                seen[i] = seen.get(i, 0) + 1
-                while len(seen) == len(leaves):
-                    best = max(best, WEIGHT["D"] * len(leaves) / (p - hits[lo][0] + 1))
-                    j = hits[lo][1]
+            hits = sorted((int(p) & MAX_POSITION, i, int(p) >> 14) for i, ps in enumerate(at) for p in ps)
+            seen = [0] * len(at)
+            best, lo, covered, total = 0.0, 0, 0, 0.0
+            for p, i, w in hits:
+                covered += not seen[i]
+                seen[i] += 1
+                total += weight[w]
+                while covered == len(at):
+                    best = max(best, total / (p - hits[lo][0] + 1))
+                    _, j, x = hits[lo]
                     seen[j] -= 1
-                    if not seen[j]:
-                        del seen[j]
+                    covered -= not seen[j]
+                    total -= weight[x]
                     lo += 1
             return best
 
         return s.map(one)
 
-    return _normed(run(v), v, norm)
+    rank = run(F.array(*[_positions(v, x) for x in leaves])) if leaves else F.lit(0.0)
+    return _normed(rank, v, norm, sizes)
+
+
+def setweight(v: Column, letter: str, lexemes_: list[str] | None = None) -> Column:
+    """The vector with every position (or those of some lexemes) of one weight."""
+    if letter.upper() not in _LETTERS or len(letter) != 1:
+        raise ValueError(f"unknown weight {letter!r}")
+    bits = _LETTERS.index(letter.upper()) << 14
+
+    def one(e: Column) -> Column:
+        new = F.transform(e["pos"], lambda p: _place(p).bitwiseOR(F.lit(bits)))
+        return F.struct(e["lex"].alias("lex"), (new if lexemes_ is None else F.when(e["lex"].isin(lexemes_), new).otherwise(e["pos"])).alias("pos"))
+
+    return F.transform(v, one)
+
+
+def concat(a: Column, b: Column) -> Column:
+    """``||``: the lexemes of both, with all their positions."""
+    lex = F.array_sort(F.array_distinct(F.concat(F.transform(a, lambda e: e["lex"]), F.transform(b, lambda e: e["lex"]))))
+    at = lambda v, x: F.flatten(F.transform(F.filter(v, lambda e: e["lex"] == x), lambda e: e["pos"]))
+    return F.transform(lex, lambda x: F.struct(x.alias("lex"), F.array_sort(F.array_distinct(F.concat(at(a, x), at(b, x)))).alias("pos")))
+
+
+def ts_lexize(word: Column, config: str = "english") -> Column:
+    """The lexeme of one word, NULL for a stop word."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t):
+            w = unicodedata.normalize("NFKC", t).lower()
+            return w if config == "simple" else None if w in STOP else stem(w)
+
+        return s.map(one, na_action="ignore")
+
+    return run(word)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (lex, k, pos), ordered by lexeme and key, and the sizes (k, n, u) of the documents."""
+
+    postings: DataFrame
+    docs: DataFrame
+    config: str
+
+
+def build_index(df: DataFrame, key: str, text: str, config: str = "english") -> Index:
+    """Tokenize every text once and store its postings.
+
+    They are range-partitioned by lexeme and key, so that a scan for a few
+    lexemes reads few row groups and a lexeme of many documents spans many
+    files.  NULL texts and keys are in no index; a repeated key must not occur
+    with different texts.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, str | None] = {}
+
+        def lexeme(w: str) -> str | None:
+            if w not in cache:
+                if len(cache) > 500_000:
+                    cache.clear()
+                cache[w] = w if config == "simple" else None if w in STOP else stem(w)
+            return cache[w]
+
+        for b in batches:
+            lex: list[str | None] = []
+            row: list[int] = []
+            pos: list[list[int]] = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                by: dict[str, list[int]] = {}
+                n = 0
+                for n, w in enumerate(words(t), 1):  # noqa: B007
+                    x = lexeme(w)
+                    if x is not None:
+                        by.setdefault(x, []).append(min(n, MAX_POSITION))
+                lex += [None, *by]
+                row += [i] * (len(by) + 1)
+                pos += [[sum(map(len, by.values())), len(by), n], *by.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(lex, pa.string()), b.column(0).take(pa.array(row, pa.int32())), pa.array(pos, pa.list_(pa.int32()))], names=["lex", "k", "pos"])
+
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text)
+    stage = materialise(rows.mapInArrow(run, f"lex string, k {kind}, pos array<int>"), "lexemes")
+    postings = materialise(stage.where("lex IS NOT NULL").dropDuplicates(["lex", "k"]).repartitionByRange("lex", "k").sortWithinPartitions("lex", "k"), "postings")
+    docs = materialise(stage.where("lex IS NULL").select("k", F.col("pos")[0].alias("n"), F.col("pos")[1].alias("u"), (F.col("pos")[2] > MAX_POSITION).alias("over")).dropDuplicates(["k"]), "sizes")
+    return Index(postings, docs, config)
+
+
+def _matches_nothing(q) -> bool:
+    """Whether a query matches a vector without any of its words."""
+    if q is None or q[0] in ("lex", "phrase"):
+        return False
+    if q[0] == "not":
+        return not _matches_nothing(q[1])
+    a, b = _matches_nothing(q[1]), _matches_nothing(q[2])
+    return a and b if q[0] == "and" else a or b
+
+
+def _has_phrase(q) -> bool:
+    return q is not None and q[0] != "lex" and (q[0] == "phrase" or any(_has_phrase(x) for x in q[1:] if isinstance(x, tuple)))
+
+
+def search(index: Index, q, sizes: bool = False) -> DataFrame:
+    """(k, v, n, u, over) of the matching documents; ``v`` has the query's lexemes only.
+
+    Only the postings of the query's words are read.  The documents' sizes are
+    joined where a phrase, a norm (``sizes``) or a query that documents without
+    its words match (``!court``) needs them.
+    """
+    asked = F.lit(False)
+    for _, lex, prefix, _ in dict.fromkeys(_words_of(q)):
+        asked = asked | (F.col("lex").startswith(lex) if prefix else F.col("lex") == lex)
+    v = F.array_sort(F.collect_list(F.struct("lex", "pos"))).alias("v")
+    found = index.postings.where(asked).groupBy("k").agg(v)
+    none = F.array().cast(TSVECTOR)
+    if _matches_nothing(q):
+        found = index.docs.join(found, "k", "left").withColumn("v", F.coalesce("v", none))
+    elif sizes or _has_phrase(q):
+        found = join_checked(index.docs, found, "k")
+    else:
+        found = found.select("k", "v", *[F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("u", "int"), ("over", "boolean"))])
+    return found.where(match(F.col("v"), q, F.col("over"))) if q is not None else found.where(F.lit(False))
+
+
+def search_count(index: Index, q) -> DataFrame:
+    """COUNT(*) of the matching documents (one row: n)."""
+    return search(index, q).agg(F.count("*").alias("n"))
+
+
+def search_ranked(index: Index, q, k: int, norm: int = 0, cover: bool = False) -> DataFrame:
+    """(k, rank) of the first ``k`` documents by rank, equal ranks by key."""
+    found = search(index, q, sizes=norm & 31 > 0)
+    rank = (ts_rank_cd if cover else ts_rank)(F.col("v"), q, norm, (F.col("n"), F.col("u")))
+    return found.select("k", rank.alias("rank")).orderBy(F.col("rank").desc(), "k").limit(k)
 
 
 def ts_headline(text: Column, q, config: str = "english", start: str = "<b>", stop: str = "</b>") -> Column:
     """The text with the query's words marked."""
-    leaves = [(x[1], x[2]) for x in _leaves(q)]
+    leaves = {x[1] for x in _leaves(q)}
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def mark(m):
             w = m.group().lower()
             lex = w if config == "simple" else stem(w)
-            hit = any(lex.startswith(a) if pre else lex == a for a, pre in leaves)
+            hit = (config == "simple" or w not in STOP) and (lex in leaves or w in leaves)
             return f"{start}{m.group()}{stop}" if hit else m.group()
 
         return s.map(lambda t: _WORD.sub(mark, t), na_action="ignore")
@@ -388,5 +559,17 @@ def strip(v: Column) -> Column:
     return F.transform(v, lambda e: F.struct(e["lex"].alias("lex"), F.array().cast("array<int>").alias("pos")))
 
 
+def query_text(q) -> str:
+    """A query as text."""
+    if q is None:
+        return ""
+    if q[0] == "lex":
+        return "'" + q[1].replace("'", "''") + "'" + (":" + "*" * q[2] + q[3] if q[2] or q[3] else "")
+    if q[0] == "not":
+        return f"!{query_text(q[1])}" if q[1][0] == "lex" else f"!( {query_text(q[1])} )"
+    sign = {"and": "&", "or": "|"}.get(q[0]) or ("<->" if q[3] == 1 else f"<{q[3]}>")
+    return " ".join([*(f"( {query_text(x)} )" if x[0] in ("and", "or", "phrase") and x[0] != q[0] else query_text(x) for x in q[1:2]), sign, *(f"( {query_text(x)} )" if x[0] in ("and", "or", "phrase") and x[0] != q[0] else query_text(x) for x in q[2:3])])
+
+
 def length(v: Column) -> Column:
     return F.size(v).cast("long")

@@ -43,4 +43,4 @@ def sql(name: str, text: str, duck: str | None = None) -> None:
     ORACLES[name] = duck or text
 
 
-from tidewell.plans import dml_queries, function_queries, json_queries, orphan_queries, relational_queries, retrieval_queries  # noqa: E402,F401
+from tidewell.plans import dml_queries, fts_queries, function_queries, json_queries, orphan_queries, relational_queries, retrieval_queries  # noqa: E402,F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions import fts, vector
+from tidewell.functions import vector
 from tidewell.operators import memory
 from tidewell.plans.registry import query
 from tidewell.session import configure, table
@@ -56,44 +56,6 @@ def vec_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return vector.top_k(e, "embedding", q, 10, "l2", where=F.col("label").isin(1, 2)).select("vec_id", "label")
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    configure(spark)
-    return table(spark, d, "documents").select("doc_id", "text", fts.to_tsvector(F.col("text")).alias("v"))
-
-
-@query()
-def fts_match(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where(fts.match(F.col("v"), fts.to_tsquery("recipe & (oven | onion) & !court"))).select("doc_id")
-
-
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])criminal[^\\p{L}\\p{N}]+court([^\\p{L}\\p{N}]|$)')")
-def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
-    configure(spark)
-    v = fts.to_tsvector(F.col("text"), "simple")
-    return table(spark, d, "documents").withColumn("v", v).where(fts.match(F.col("v"), fts.phraseto_tsquery("criminal court", "simple"))).select("doc_id")
-
-
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])telesc')")
-def fts_prefix(spark: SparkSession, d: str) -> DataFrame:
-    configure(spark)
-    v = fts.to_tsvector(F.col("text"), "simple")
-    return table(spark, d, "documents").withColumn("v", v).where(fts.match(F.col("v"), fts.to_tsquery("telesc:*", "simple"))).select("doc_id")
-
-
-@query()
-def fts_rank(spark: SparkSession, d: str) -> DataFrame:
-    q = fts.websearch_to_tsquery('"criminal court" or verdict -bail')
-    rows = _docs(spark, d)
-    return rows.where(fts.match(F.col("v"), q)).select("doc_id", F.round(fts.ts_rank(F.col("v"), q, 1), 6).alias("rank")).orderBy(F.col("rank").desc(), "doc_id").limit(50)
-
-
-@query()
-def fts_rank_cd(spark: SparkSession, d: str) -> DataFrame:
-    q = fts.plainto_tsquery("the judge and the verdict")
-    rows = _docs(spark, d).where(fts.match(F.col("v"), q))
-    return rows.select("doc_id", F.round(fts.ts_rank_cd(F.col("v"), q), 6).alias("rank"), fts.ts_headline(F.col("text"), q).alias("headline"))
-
-
 _BM = "recall summary of the window"
 _TERMS = sorted(set(_BM.split()))
 
