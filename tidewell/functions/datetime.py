@@ -7,7 +7,9 @@ and an INTERVAL is struct<months int, days int, micros long>.
 from __future__ import annotations
 
 import re
+import time
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,6 +140,8 @@ def parse_interval(text: str) -> tuple[int, int, int]:
 
 def add(ts: Column, iv: Column, sign: int = 1) -> Column:
     """TIMESTAMP or DATE ± INTERVAL: months (clamped to the month's end), then days, then microseconds."""
+    if not isinstance(iv, Column):
+        raise TypeError("a timestamp takes an interval, not a number")
     t = ts.cast("timestamp_ntz")
     day = F.add_months(t.cast("date"), sign * iv["months"])
     within = F.pmod(micros(t), F.lit(DAY))
@@ -298,3 +302,146 @@ def at_time_zone(ts: Column, zone: str) -> Column:
 def isfinite(c: Column) -> Column:
     """There is no infinite date here: every known value is finite."""
     return F.when(c.isNotNull(), F.lit(True))
+
+
+# The clock.  A query's plan reads it once, so that all rows see one time, except for ``clock_timestamp``.
+def now() -> Column:
+    """NOW, CURRENT_TIMESTAMP, LOCALTIMESTAMP, STATEMENT_ and TRANSACTION_TIMESTAMP: the query's time, UTC."""
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def current_date() -> Column:
+    return now().cast("date")
+
+
+def current_time() -> Column:
+    """CURRENT_TIME and LOCALTIME: microseconds of the day."""
+    return time_of(now())
+
+
+def clock_timestamp() -> Column:
+    """The wall clock at each row's evaluation (batch by batch)."""
+    @F.pandas_udf("long")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([time.time_ns() // 1000] * len(x), index=x.index)
+
+    return from_micros(run(F.lit(0)))
+
+
+def random() -> Column:
+    """RANDOM(): an integer of 64 bits, another one for each row."""
+    return F.xxhash64(F.rand(), F.monotonically_increasing_id())
+
+
+def parse_time(c: Column) -> Column:
+    """Microseconds of the day of ``HH:MM[:SS[.ffffff]]``; other text is an error."""
+    m = lambda g: F.regexp_extract(c, r"^\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?\s*$", g)
+    bad = F.raise_error(F.concat(F.lit("invalid time: "), c)).cast("long")
+    value = make_time(m(1).cast("long"), m(2).cast("long"), F.coalesce(F.nullif(m(3), F.lit("")).cast("double"), F.lit(0.0)))
+    return F.when(c.isNull(), F.lit(None).cast("long")).when(m(1) == "", bad).otherwise(value)
+
+
+def date_of(c: Column, kind: str) -> Column:
+    """DATE(x) of text (``now`` too), of seconds since 1970, or of a date or timestamp."""
+    if kind == "text":
+        return F.when(F.lower(F.trim(c)) == "now", current_date()).otherwise(F.to_date(c))
+    return from_micros(c * 1_000_000).cast("date") if kind == "integer" else c.cast("date")
+
+
+def time_from(c: Column, kind: str) -> Column:
+    """TIME(x) of text (``now`` too), of a timestamp, or of a time."""
+    if kind == "text":
+        return F.when(F.lower(F.trim(c)) == "now", current_time()).otherwise(parse_time(F.when(F.lower(F.trim(c)) != "now", c)))
+    return c if kind == "time" else time_of(c)
+
+
+def datetime_of(c: Column, kind: str) -> Column:
+    """DATETIME(x) of text (``now`` too), of seconds since 1970, or of a date or timestamp."""
+    if kind == "text":
+        return F.when(F.lower(F.trim(c)) == "now", now()).otherwise(c.try_cast("timestamp_ntz"))
+    return from_micros(c * 1_000_000) if kind == "integer" else c.cast("timestamp_ntz")
+
+
+def time_extract(field: str, t: Column) -> Column:
+    """EXTRACT FROM a TIME."""
+    part = lambda a, b: F.call_function("div", t % a, F.lit(b).cast("long"))
+    fields = {
+        "hour": lambda: part(DAY, HOUR), "minute": lambda: part(HOUR, 60_000_000), "second": lambda: (t % 60_000_000) / 1e6,
+        "microseconds": lambda: t % 60_000_000, "milliseconds": lambda: (t % 60_000_000) / 1e3, "epoch": lambda: part(DAY, 1_000_000),
+    }
+    if field.lower() not in fields:
+        raise ValueError(f"{field} from TIME")
+    return fields[field.lower()]()
+
+
+def time_minus(a: Column, b: Column) -> Column:
+    """TIME - TIME: an interval of microseconds."""
+    return interval(0, 0, a - b)
+
+
+def time_trunc(unit: str, t: Column) -> Column:
+    """DATE_TRUNC of a TIME."""
+    u = unit.lower().rstrip("s")
+    if u not in _UNITS:
+        raise ValueError(f"{unit} is invalid for TIME")
+    return t - t % _UNITS[u]
+
+
+def iv_trunc(unit: str, a: Column) -> Column:
+    """DATE_TRUNC of an INTERVAL."""
+    u = unit.lower().rstrip("s")
+    if u in _UNITS:
+        return let(a, lambda x: interval(x["months"], x["days"], x["micros"] - x["micros"] % _UNITS[u]))
+    if u == "day":
+        return let(a, lambda x: interval(x["months"], x["days"], 0))
+    n = {"month": 1, "quarter": 3, "year": 12, "decade": 120, "century": 1200, "millennium": 12000}.get(u)
+    if n is None:
+        raise ValueError(f"unknown unit {unit}")
+    return let(a, lambda x: interval(x["months"] - x["months"] % n, 0, 0))
+
+
+def iv_div(a: Column, k: Column | float) -> Column:
+    """INTERVAL / number; division by zero is an error."""
+    k = F.lit(float(k)) if not isinstance(k, Column) else k.cast("double")
+    bad = F.raise_error(F.lit("division by zero")).cast("double")
+    return iv_times(a, F.when(k == 0, bad).otherwise(F.lit(1.0) / k))
+
+
+def iv_compare(a: Column, op: str, b: Column) -> Column:
+    """Comparison of intervals: a month counts as 30 days, a day as 24 hours."""
+    x, y = iv_total(a), iv_total(b)
+    return {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+
+
+def iv_sum(a: Column) -> Column:
+    """SUM of intervals (aggregate), part by part; NULLs are skipped, no interval gives NULL."""
+    parts = F.struct(F.sum(a["months"]).cast("int").alias("months"), F.sum(a["days"]).cast("int").alias("days"), F.sum(a["micros"]).alias("micros"))
+    return F.when(F.count(a) > 0, parts)
+
+
+def iv_avg(a: Column) -> Column:
+    """AVG of intervals (aggregate)."""
+    return iv_div(iv_sum(a), F.nullif(F.count(a), F.lit(0)).cast("double"))
+
+
+def parse_intervals(c: Column) -> Column:
+    """CAST(text AS INTERVAL) of a column."""
+    @F.pandas_udf("struct<months:int,days:int,micros:long>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = [parse_interval(t) if t is not None else (None, None, None) for t in s]
+        return pd.DataFrame(rows, columns=["months", "days", "micros"], index=s.index).astype("Int64")
+
+    return F.when(c.isNotNull(), run(c))
+
+
+def iv_text(a: Column) -> Column:
+    """``1 year 2 mons 3 days 04:05:06``; a zero interval is ``00:00:00``."""
+    unit = lambda n, one, many: F.when(n != 0, F.concat(n.cast("string"), F.lit(" "), F.when(F.abs(n) == 1, one).otherwise(many)))
+    us = F.abs(a["micros"])
+    div = lambda x, y: F.call_function("div", x, F.lit(y).cast("long"))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    fraction = F.when(us % 1_000_000 != 0, F.concat(F.lit("."), F.lpad((us % 1_000_000).cast("string"), 6, "0"))).otherwise("")
+    hours = div(us, HOUR)
+    clock = F.concat(F.when(a["micros"] < 0, "-").otherwise(""), F.when(hours < 10, two(hours)).otherwise(hours.cast("string")), F.lit(":"), two(div(us % HOUR, 60_000_000)), F.lit(":"), two(div(us % 60_000_000, 1_000_000)), fraction)
+    years, months = div(a["months"].cast("long"), 12), a["months"] % 12
+    return F.concat_ws(" ", unit(years, "year", "years"), unit(months, "mon", "mons"), unit(a["days"], "day", "days"), F.when((a["micros"] != 0) | (a["months"] == 0) & (a["days"] == 0), clock))
