@@ -152,3 +152,16 @@ def typeof(c: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in _TYPE_NAMES.items() for x in kv])
     t = F.typeof(c)
     return F.when(c.isNull(), "null").when(t.startswith("array"), "array").otherwise(F.coalesce(names[t], t))
+
+
+def collate(c: Column, name: str) -> Column:
+    """What a collation compares, sorts and groups by: ``binary``, ``nocase`` (ASCII) or ``rtrim`` (blanks at the end)."""
+    if name.lower() not in ("binary", "nocase", "rtrim"):
+        raise ValueError(f"unknown collation {name}")
+    return {"binary": lambda: c, "nocase": lambda: lower(c), "rtrim": lambda: F.rtrim(c)}[name.lower()]()
+
+
+def abs_(c: Column) -> Column:
+    """ABS: the least INTEGER has none and is an error."""
+    bad = F.raise_error(F.lit("integer overflow")).cast("long")
+    return F.when(c == F.lit(-(2**63)).cast("long"), bad).otherwise(F.abs(c))

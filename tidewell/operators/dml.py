@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,11 +16,22 @@ def insert(target: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _first(source: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
-    if order is None:
-        return source.dropDuplicates(keys)
-    from pyspark.sql import Window
+    """The first row of each key; without an order, the least of its rows (by all columns), whatever their place.
 
-    return source.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+    A key with a NULL clashes with none, so its rows all stay.
+    """
+    rest = [c for c in source.columns if c not in keys]
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    known = source.where(~null)
+    if order is None and rest:
+        first = known.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*").select(*source.columns)
+    elif order is None:
+        first = known.dropDuplicates(keys)
+    else:
+        first = known.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *[F.col(c) for c in rest]))).where("__r = 1").drop("__r")
+    return first.unionByName(source.where(null))
 
 
 def upsert_do_nothing(target: DataFrame, source: DataFrame, keys: list[str], order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -124,8 +136,92 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, op.alias("op"), F.coalesce("__b", "__a").alias("r")).select(*keys, "op", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def run_triggers(triggers: list[tuple[str, Callable[[DataFrame, DataFrame], DataFrame | None]]], old: DataFrame, new: DataFrame, depth: int = 0) -> list[DataFrame]:
-    """Statement triggers in name order over the transition tables; at most 32 deep."""
-    if depth > 32:
+def patch(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
+    """A snapshot after the changes that ``diff`` found."""
+    rest = [c for c in old.columns if c not in keys]
+    kept = old.join(delta.select(*keys), keys, "left_anti").select(*old.columns)
+    return kept.unionByName(delta.where("op <> 'delete'").select(*keys, *rest).select(*old.columns))
+
+
+def merkle(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
+    """(bucket, hash, n): what the rows of each bucket of keys hash to, whatever their order."""
+    row = F.xxhash64(*[F.coalesce(F.to_json(F.struct(F.col(c).alias("c")), {"ignoreNullFields": "false"}), F.lit("")) for c in sorted(df.columns)])
+    rows = df.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"), row.alias("h"))
+    return rows.groupBy("bucket").agg(F.bit_xor("h").alias("hash"), F.count("*").alias("n"))
+
+
+def merkle_diff(old: DataFrame, new: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
+    """``diff`` of two snapshots that compares rows only in buckets whose hashes differ."""
+    a, b = merkle(old, keys, buckets), merkle(new, keys, buckets)
+    apart = a.join(b.select("bucket", F.col("hash").alias("h2"), F.col("n").alias("n2")), "bucket", "full").where(~(F.col("hash").eqNullSafe(F.col("h2")) & F.col("n").eqNullSafe(F.col("n2")))).select("bucket")
+    few = F.broadcast(apart)  # at most as many rows as buckets
+    mine = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).join(few, "bucket", "left_semi").select(*df.columns)
+    return diff(mine(old), mine(new), keys)
+
+
+@dataclass(frozen=True)
+class Trigger:
+    """What is done around a change.
+
+    ``timing`` is before, after or instead_of, ``level`` row or statement.  A
+    BEFORE ROW action gets (old, new) rows and gives the new rows that are to
+    be stored; the others get the transition tables and give nothing that is
+    kept.  ``when`` is a condition on the new (deleted: old) rows of a row
+    trigger; the others are stored unchanged.
+    """
+
+    name: str
+    event: str
+    action: Callable[[DataFrame, DataFrame], DataFrame | None]
+    timing: str = "after"
+    level: str = "statement"
+    when: Column | None = None
+
+
+_depth = 0
+MAX_DEPTH = 32
+
+
+def _run(trigger: Trigger, old: DataFrame, new: DataFrame) -> DataFrame | None:
+    global _depth
+    if _depth >= MAX_DEPTH:
         raise RecursionError("triggers nest too deeply")
-    return [r for _, f in sorted(triggers, key=lambda t: t[0]) if (r := f(old, new)) is not None]
+    _depth += 1
+    try:
+        return trigger.action(old, new)
+    finally:
+        _depth -= 1
+
+
+def before_triggers(triggers: list[Trigger], old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(old, new rows to store, whether to store them) after BEFORE and INSTEAD OF triggers, in name order."""
+    for t in sorted((t for t in triggers if t.timing == "before"), key=lambda t: t.name):
+        if t.level == "statement":
+            _run(t, old, new)
+        elif t.event == "delete":
+            _run(t, old if t.when is None else old.where(F.coalesce(t.when, F.lit(False))), new)
+        else:
+            hit = F.lit(True) if t.when is None else F.coalesce(t.when, F.lit(False))
+            changed = _run(t, old, new.where(hit))
+            if changed is not None:
+                new = changed.select(*new.columns).unionByName(new.where(~hit))
+    instead = sorted((t for t in triggers if t.timing == "instead_of"), key=lambda t: t.name)
+    for t in instead:
+        _run(t, old, new)
+    return old, new, not instead
+
+
+def after_triggers(triggers: list[Trigger], old: DataFrame, new: DataFrame) -> None:
+    """AFTER triggers in name order; a row trigger gets the rows that its condition holds for, in one frame."""
+    for t in sorted((t for t in triggers if t.timing == "after"), key=lambda t: t.name):
+        if t.when is None or t.level == "statement":
+            _run(t, old, new)
+        elif t.event == "delete":
+            _run(t, old.where(F.coalesce(t.when, F.lit(False))), new)
+        else:
+            _run(t, old, new.where(F.coalesce(t.when, F.lit(False))))
+
+
+def run_triggers(triggers: list[tuple[str, Callable[[DataFrame, DataFrame], DataFrame | None]]], old: DataFrame, new: DataFrame) -> list[DataFrame]:
+    """Statement triggers in name order over the transition tables; at most 32 deep."""
+    return [r for name, f in sorted(triggers, key=lambda t: t[0]) if (r := _run(Trigger(name, "any", f), old, new)) is not None]

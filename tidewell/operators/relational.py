@@ -25,6 +25,16 @@ def lateral_top_k(outer: DataFrame, inner: DataFrame, on: Column, key: str, orde
     return outer.join(cut, on, how)
 
 
+def any_of(a: Column, op: str, values: Column) -> Column:
+    """``a op ANY (array)``: NULL where no element decides and one (or ``a``) is NULL; false for an empty array."""
+    return F.exists(values, lambda x: _OPS[op](a, x))
+
+
+def all_of(a: Column, op: str, values: Column) -> Column:
+    """``a op ALL (array)``: true for an empty array."""
+    return F.forall(values, lambda x: _OPS[op](a, x))
+
+
 def _extremes(sub: DataFrame, column: str) -> DataFrame:
     return sub.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"), F.count(column).alias("__n"), F.count("*").alias("__all"), F.count_distinct(column).alias("__d"))
 
