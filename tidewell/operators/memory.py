@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import json as J
 from tidewell.session import materialise
 
 # BM25 and fusion constants.
@@ -97,32 +98,39 @@ def would_cycle(edges: DataFrame, kind: str, src: int, dst: int) -> bool:
     return src == dst or not reach.where(F.col("id") == src).isEmpty()
 
 
-def evolve_score(accessed: Column, access_count: Column, now: Column) -> Column:
-    """recency x (1 + ln(1 + accesses))."""
-    days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(accessed.cast("timestamp"))) / 86_400_000_000.0
-    return F.pow(F.lit(0.5), F.greatest(days, F.lit(0.0)) / HALF_LIFE_DAYS) * (1 + F.log(1.0 + access_count))
+def evolve_score(created: Column, access_count: Column, now: Column) -> Column:
+    """recency x (1 + ln(1 + accesses)); recency halves every 30 days from creation."""
+    days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000.0
+    return F.pow(F.lit(0.5), F.greatest(days, F.lit(0.0)) / HALF_LIFE_DAYS) * (1 + F.log(1.0 + F.greatest(access_count, F.lit(0))))
 
 
 def evict(atoms: DataFrame, policy: str, **p) -> tuple[DataFrame, DataFrame]:
-    """(kept, evicted) under stale, low_score, lru, purge_region or predicate_match.
-
-    Immutable atoms are spared, except by a purge.  ``lru`` keeps the ``keep``
-    most recently used of each region (by accessed_at, access_count, id).
+    """(kept, evicted) under a policy; immutable atoms are spared, except by a purge.
+
+    ``stale`` (before): never accessed and created before that time.
+    ``low_score`` (score, confidence): below both.  ``lru`` (keep_fraction):
+    of each region the least recently accessed (then accessed least, then the
+    smallest id) go, the floor of the other fraction of those not immutable.
+    ``purge_region`` (region_id): all.  ``predicate_match`` (payload):
+    payload contains that JSON.
     """
-    fixed = F.coalesce(F.col("immutable") == 1, F.lit(False))
+    free = ~F.coalesce(F.col("immutable") == 1, F.lit(False))
     if policy == "lru":
-        free = atoms.where(~fixed)
-        w = Window.partitionBy("region_id").orderBy(F.col("accessed_at").desc_nulls_last(), F.col("access_count").desc_nulls_last(), F.col("id").desc())
-        stay = free.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= p["keep"]).select("id")
-        gone = free.join(stay, "id", "left_anti")
-        return atoms.where(fixed).unionByName(free.join(stay, "id", "left_semi").select(*atoms.columns)), gone.select(*atoms.columns)
+        share = 1.0 - min(max(p["keep_fraction"], 0.0), 1.0)
+        rows = atoms.where(free)
+        go = rows.groupBy("region_id").agg(F.floor(F.count("*") * F.lit(share) + 1e-9).alias("__go"))
+        w = Window.partitionBy("region_id").orderBy(F.col("accessed_at").asc_nulls_first(), F.col("access_count").asc_nulls_first(), "id")
+        ranked = rows.withColumn("__r", F.row_number().over(w)).join(go, rows["region_id"].eqNullSafe(go["region_id"])).drop(go["region_id"])
+        gone = ranked.where(F.col("__r") <= F.col("__go")).select(*atoms.columns)
+        stay = ranked.where(F.col("__r") > F.col("__go")).select(*atoms.columns)
+        return atoms.where(~free).unionByName(stay), gone
     cond = {
-        "stale": lambda: F.col("expires_at") <= F.lit(p["now"]).cast("timestamp_ntz"),
-        "low_score": lambda: F.col("score") < p["below"],
+        "stale": lambda: (F.col("access_count") == 0) & (F.col("created_at") < F.lit(p["before"]).cast("timestamp_ntz")),
+        "low_score": lambda: (F.col("score") < p["score"]) & (F.col("confidence") < p["confidence"]),
         "purge_region": lambda: F.col("region_id") == p["region_id"],
-        "predicate_match": lambda: p["predicate"],
+        "predicate_match": lambda: J.contains(F.col("payload"), p["payload"]),
     }[policy]()
-    hit = F.coalesce(cond, F.lit(False)) & (F.lit(policy == "purge_region") | ~fixed)
+    hit = F.coalesce(cond, F.lit(False)) & (F.lit(policy == "purge_region") | free)
     return atoms.where(~hit), atoms.where(hit)
 
 
