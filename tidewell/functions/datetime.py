@@ -345,7 +345,7 @@ def date_of(c: Column, kind: str) -> Column:
     """DATE(x) of text (``now`` too), of seconds since 1970, or of a date or timestamp."""
     if kind == "text":
         return F.when(F.lower(F.trim(c)) == "now", current_date()).otherwise(F.to_date(c))
-    return from_micros(c * 1_000_000).cast("date") if kind == "integer" else c.cast("date")
+    return from_micros(c.cast("long") * 1_000_000).cast("date") if kind == "integer" else c.cast("date")
 
 
 def time_from(c: Column, kind: str) -> Column:
@@ -359,7 +359,7 @@ def datetime_of(c: Column, kind: str) -> Column:
     """DATETIME(x) of text (``now`` too), of seconds since 1970, or of a date or timestamp."""
     if kind == "text":
         return F.when(F.lower(F.trim(c)) == "now", now()).otherwise(c.try_cast("timestamp_ntz"))
-    return from_micros(c * 1_000_000) if kind == "integer" else c.cast("timestamp_ntz")
+    return from_micros(c.cast("long") * 1_000_000) if kind == "integer" else c.cast("timestamp_ntz")
 
 
 def time_extract(field: str, t: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import dml
 from tidewell.plans.registry import query
 from tidewell.session import configure, table
+from tidewell.sources import sinks
 from tidewell.sources.catalog import Catalog, ConstraintError, Constraints, ForeignKey
 
 c = F.col
@@ -319,3 +320,37 @@ def explain(spark: SparkSession, d: str) -> DataFrame:
     cat = _catalog(spark, d, "orders")
     text = cat.explain("SELECT o_orderkey FROM orders WHERE o_custkey = 7")
     return spark.createDataFrame([("Scan parquet" in text, "EqualTo(o_custkey,7)" in text)], "scans boolean, pushed boolean")
+
+
+@query("SELECT concat_ws(',', c_custkey, CASE WHEN regexp_matches(c_name, '[,\"\\n\\r]') THEN '\"' || c_name || '\"' ELSE c_name END, c_mktsegment, c_nationkey) AS line FROM customer")
+def sink_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as CSV lines, made where they are."""
+    configure(spark)
+    return sinks.lines(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"))
+
+
+@query("SELECT concat('{\"c_custkey\":', c_custkey, ',\"c_name\":\"', c_name, '\",\"nothing\":null}') AS line FROM customer")
+def sink_json(spark: SparkSession, d: str) -> DataFrame:
+    configure(spark)
+    return sinks.lines(table(spark, d, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("nothing")), "json")
+
+
+@query(
+    """SELECT 'nation' AS table_name, 0 AS part, 'CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER, PRIMARY KEY (n_nationkey));' AS line
+    UNION ALL SELECT 'nation', 1, concat('INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (', n_nationkey, ', ''', replace(n_name, '''', ''''''), ''', ', n_regionkey, ');') FROM nation"""
+)
+def sink_dump(spark: SparkSession, d: str) -> DataFrame:
+    """CREATE and INSERT statements of a table."""
+    cat = _catalog(spark, d)
+    cat.create("nation", table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), Constraints(primary_key=("n_nationkey",)))
+    return sinks.dump(cat, "nation")
+
+
+@query("SELECT count(*) AS n, sum(o_orderkey) AS s FROM orders")
+def row_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Rows read one by one."""
+    configure(spark)
+    n = s = 0
+    for r in sinks.cursor(table(spark, d, "orders").select("o_orderkey")):
+        n, s = n + 1, s + r["o_orderkey"]
+    return spark.createDataFrame([(n, s)], "n long, s long")
