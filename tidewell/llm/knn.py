@@ -11,7 +11,10 @@ A collection (region) that fits a task is handled in one, with as many
 intervals as keep buckets at a constant size, down to a single bucket.  A
 larger one is first cut into cells by the same kind of hash, fitted on a
 bounded sample of it; queries travel to their own and to perturbed cells, and
-their partial results are merged.
+their partial results are merged.  A cell that still holds more than twice the
+rows of a cell is cut again by further projections, fitted on a sample of that
+cell, until none is left; should cells remain that projections do not cut,
+their rows are dealt into parts and their queries go to each of these.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ PROBES = 16  # perturbed buckets visited in each table
 BUCKET = 192  # vectors that a bucket should hold
 CELL = 16_000  # vectors that a task should hold
 CELL_TABLES, CELL_PROBES = 3, 3
+LEVELS = 5  # how often cells are cut by projections
 CELL_INNER = 2  # tables inside a cell: a neighbour has its chance in each cell table too
 SAMPLE = 4096  # vectors of a large collection that its cells are fitted on
 WIDTH = 2.0  # interval, in standard deviations of the projections
@@ -250,50 +254,84 @@ def usable(atoms: DataFrame, regions: DataFrame) -> DataFrame:
     return join_checked(a, r, "region").where(fine & F.col("metric").isin("cosine", "l2", "inner")).select("region", "id", "v", "metric")
 
 
-def _cell_fitter(cell: int):
+def _cell_fitter(cell: int, tables: int, seed: int):
     def fit(key, table):
-        """Cell projections of one large collection, from a bounded sample of it."""
+        """Projections of one large collection or cell, from a bounded sample of it."""
         n, metric, top = table.column("n")[0].as_py(), table.column("metric")[0].as_py(), table.column("top")[0].as_py()
         x, _ = embed(metric, _matrix(table.column("v")), top)
         bits = max(1, int(np.ceil(np.log2(n / cell) / 1.2)))
         rows = []
-        for t in range(CELL_TABLES):
-            a = _directions(x.shape[1], bits, 7001 + 31 * t)
+        for t in range(tables):
+            a = _directions(x.shape[1], bits, seed + 31 * t)
             p = x @ a.T
             rows.append((p.mean(0).tolist(), (WIDTH * p.std(0) + 1e-9).tolist()))
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([[m for m, _ in rows]], pa.list_(pa.list_(pa.float64()))), pa.array([[w for _, w in rows]], pa.list_(pa.list_(pa.float64())))], names=["region", "mid", "width"])
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([[m for m, _ in rows]], pa.list_(pa.list_(pa.float64()))), pa.array([[w for _, w in rows]], pa.list_(pa.list_(pa.float64())))], names=["cell", "mid", "width"])
 
     return fit
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of large collections to cells: the home cell of each table as data, and every probed cell as a query."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        region = b.column(0).to_numpy()
-        for g in np.unique(region).tolist():
-            s = b.filter(pa.array(region == g))
-            metric, top = s.column(3)[0].as_py(), s.column(4)[0].as_py()
-            x = np.asarray(s.column(2).flatten().to_numpy(), np.float32).reshape(s.num_rows, -1)
-            data, q = embed(metric, x, top)
-            mid, width = np.array(s.column(5)[0].as_py(), np.float32), np.array(s.column(6)[0].as_py(), np.float32)
-            for t in range(len(mid)):
-                a, shift = _directions(data.shape[1], mid.shape[1], 7001 + 31 * t), _offsets(mid.shape[1], 7001 + 31 * t)
-                home = _key(np.floor((data @ a.T - mid[t]) / width[t] + shift).astype(np.int64))
-                pos = (q @ a.T - mid[t]) / width[t] + shift
-                own = _key(np.floor(pos).astype(np.int64))
-                # A query's own cell is mostly its home as data (always, but for the inner product).
-                both = own == home
-                sent = [(3, home, both), (1, home, ~both), (2, own, ~both), *((2, key, np.ones(s.num_rows, bool)) for key in map(_key, probes(pos, CELL_PROBES)))]
-                for role, key, rows in sent:
-                    if not rows.any():
+def _mixed(key: np.ndarray, parent: int, table: int) -> np.ndarray:
+    """Cell numbers of bucket codes inside a parent."""
+    with np.errstate(over="ignore"):
+        x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(parent & 0xFFFFFFFFFFFFFFFF) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(table)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(1)).view(np.int64)
+
+
+def _spread(seed: int, count: bool):
+    """Rows of large collections or cells to smaller cells: the home cell of each table as data, every probed cell as a query.
+
+    A row's role says whether it is data (1), a query (2) or both (3).  With
+    ``count`` only the cells of data come out, without vectors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parent = b.column(0).to_numpy()
+            for g in np.unique(parent).tolist():
+                s = b.filter(pa.array(parent == g))
+                metric, top = s.column(5)[0].as_py(), s.column(6)[0].as_py()
+                role = s.column(2).to_numpy()
+                x = np.asarray(s.column(4).flatten().to_numpy(), np.float32).reshape(s.num_rows, -1)
+                data, q = embed(metric, x, top)
+                mid, width = np.array(s.column(7)[0].as_py(), np.float32), np.array(s.column(8)[0].as_py(), np.float32)
+                for t in range(len(mid)):
+                    a, shift = _directions(data.shape[1], mid.shape[1], seed + 31 * t), _offsets(mid.shape[1], seed + 31 * t)
+                    home = _key(np.floor((data @ a.T - mid[t]) / width[t] + shift).astype(np.int64))
+                    stored, asks = role & 1 > 0, role & 2 > 0
+                    if count:
+                        yield pa.RecordBatch.from_arrays([pa.array(_mixed(home[stored], g, t))], names=["cell"])
                         continue
-                    some, key = s.filter(pa.array(rows)), key[rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((key * 1_000_003 + g * 7919 + t) & 0x7FFFFFFFFFFFFFFF, pa.int64()), some.column(0), pa.array(np.full(some.num_rows, role), pa.int32()), *(some.column(c) for c in (1, 2, 3, 4))],
-                        names=["cell", "region", "role", "id", "v", "metric", "top"],
-                    )
+                    pos = (q @ a.T - mid[t]) / width[t] + shift
+                    own = _key(np.floor(pos).astype(np.int64))
+                    # A query's own cell is mostly its home as data (always, but for the inner product).
+                    both = (own == home) & stored & asks
+                    sent = [(3, home, both), (1, home, stored & ~both), (2, own, asks & ~both), *((2, key, asks) for key in map(_key, probes(pos, CELL_PROBES)))]
+                    for kind, key, rows in sent:
+                        if not rows.any():
+                            continue
+                        some, key = s.filter(pa.array(rows)), key[rows]
+                        yield pa.RecordBatch.from_arrays([pa.array(_mixed(key, g, t)), some.column(1), pa.array(np.full(some.num_rows, kind), pa.int32()), *(some.column(c) for c in (3, 4, 5, 6))], names=["cell", "region", "role", "id", "v", "metric", "top"])
+
+    return run
+
+
+def _cut(rows: DataFrame, bound: int, tables: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows sent to smaller cells, number of data rows of each of these).
+
+    ``rows`` has cell, region, role, id, v, metric, top and n, the data rows of the cell.
+    """
+    data = rows.where(F.col("role").bitwiseAND(F.lit(1)) > 0)
+    # The sample: smallest hashes of a share that gives about SAMPLE rows of each cell.
+    share = data.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (2 * SAMPLE) / F.col("n"))
+    first = share.withColumn("__r", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))).where(F.col("__r") <= SAMPLE)
+    fitted = materialise(first.groupBy("cell").applyInArrow(_cell_fitter(bound, tables, seed), "cell long, mid array<array<double>>, width array<array<double>>"), "cells")
+    both = join_checked(rows.drop("n"), fitted, "cell").select("cell", "region", "role", "id", "v", "metric", "top", "mid", "width")
+    kinds = dict(rows.dtypes)
+    sent = both.mapInArrow(_spread(seed, False), f"cell long, region long, role int, id long, v {kinds['v']}, metric string, top double")
+    return sent, both.mapInArrow(_spread(seed, True), "cell long").groupBy("cell").agg(F.count("*").alias("n"))
 
 
 def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL) -> DataFrame:
@@ -346,12 +384,6 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
     by_id = Window.partitionBy(*copies).orderBy("id")
     mine = materialise(everyone.withColumn("__r", F.row_number().over(by_id)).where(F.col("__r") <= k + 1), "core")
     full = mine.where(F.col("__r") == k + 1).select(*copies, F.col("id").alias("last"))
-    # The sample: smallest hashes of a share that gives about SAMPLE rows of each collection.
-    share = mine.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (2 * SAMPLE) / F.col("n"))
-    first = share.withColumn("__r", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))).where(F.col("__r") <= SAMPLE)
-    fitted = materialise(first.groupBy("region").applyInArrow(_cell_fitter(cell), "region long, mid array<array<double>>, width array<array<double>>"), "cells")
-    sent = join_checked(mine.select("region", "id", "v", "metric", "top"), fitted, "region").mapInArrow(_spread, f"cell long, region long, role int, id long, v {dict(rows.dtypes)['v']}, metric string, top double")
-
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _Groups(batches):
             role, ids, x = t.column("role").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v"))
@@ -361,7 +393,30 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
             if len(qa):
                 yield _out([np.full(len(qa), t.column("region")[0].as_py())], [qa], [nb], [dd])
 
-    part = sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(cells, schema).distinct()
+    def searched(rows: DataFrame) -> DataFrame:
+        return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(cells, schema)
+
+    whole = mine.select(F.col("region").alias("cell"), "region", F.lit(3).alias("role"), "id", "v", "metric", "top", "n")
+    sent, sizes = _cut(whole, cell, CELL_TABLES, 7001)
+    part = None
+    for level in range(1, LEVELS + 1):
+        wide = materialise(sizes.where(F.col("n") > 2 * cell), "wide")
+        if wide.isEmpty():
+            break
+        # At most one row for each 2 * cell rows that were sent.
+        few = F.broadcast(wide)
+        fine = searched(sent.join(few, "cell", "left_anti"))
+        part = fine if part is None else part.unionByName(fine)
+        rest = materialise(sent.join(few, "cell"), "wide_rows")
+        if level == LEVELS:
+            parts = F.ceil(F.col("n") / F.lit(cell)).cast("long")
+            dealt = rest.withColumn("p", F.explode(F.when(F.col("role") == 1, F.array(F.pmod(F.xxhash64("id"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))))
+            home = F.pmod(F.xxhash64("id"), parts) == F.col("p")
+            sent = dealt.withColumn("role", F.when((F.col("role") == 3) & ~home, F.lit(2)).otherwise(F.col("role"))).withColumn("cell", F.xxhash64("cell", "p")).drop("p", "n")
+            break
+        sent, sizes = _cut(rest, cell, 1, 7001 + 1009 * level)
+    last = searched(sent)
+    part = (last if part is None else part.unionByName(last)).distinct()
     win = Window.partitionBy("region", "id").orderBy(F.round("distance", 12), "near")
     merged = part.withColumn("__r", F.row_number().over(win)).where(F.col("__r") <= k).drop("__r")
     if full.isEmpty():
