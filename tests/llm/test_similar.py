@@ -51,14 +51,14 @@ def test_nearest_against_brute_force(spark):
 
 def test_cells_that_are_too_full_are_cut_again(spark):
     rng = np.random.default_rng(5)
-    near = 0.01 * rng.standard_normal((700, 6))  # one clump, and far points that stretch the projections
+    near = 0.01 * (np.repeat(rng.standard_normal((35, 6)), 20, 0) + 0.4 * rng.standard_normal((700, 6)))  # one clump, and far points that stretch the projections
     far = 100 * rng.standard_normal((30, 6))
     rows = [(i, 1, v.tolist()) for i, v in enumerate(np.concatenate((near, far)))]
     regions = {1: (6, "l2")}
     a = spark.createDataFrame(rows, "id long, region_id long, embedding array<float>").repartition(4)
     g = spark.createDataFrame([(1, 6, "l2")], "id long, embedding_dim long, embedding_metric string")
     want = brute(rows, regions, 5)
-    got = {(r["id"], r["near"]) for r in knn.nearest(a, g, 5, cell=40).collect()}
+    got = {(r["id"], r["near"]) for r in knn.nearest(a, g, 5, cell=60).collect()}
     assert len(got & want) >= 0.9 * len(want)
     assert {i for i, _ in got} == {i for i, _ in want}
 

@@ -33,7 +33,7 @@ PROBES = 16  # perturbed buckets visited in each table
 BUCKET = 192  # vectors that a bucket should hold
 CELL = 16_000  # vectors that a task should hold
 CELL_TABLES, CELL_PROBES = 3, 3
-LEVELS = 5  # how often cells are cut by projections
+LEVELS, AGAIN_TABLES = 5, 2  # how often cells are cut by projections, and the tables of a cut of a cell
 CELL_INNER = 2  # tables inside a cell: a neighbour has its chance in each cell table too
 SAMPLE = 4096  # vectors of a large collection that its cells are fitted on
 WIDTH = 2.0  # interval, in standard deviations of the projections
@@ -384,6 +384,7 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
     by_id = Window.partitionBy(*copies).orderBy("id")
     mine = materialise(everyone.withColumn("__r", F.row_number().over(by_id)).where(F.col("__r") <= k + 1), "core")
     full = mine.where(F.col("__r") == k + 1).select(*copies, F.col("id").alias("last"))
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _Groups(batches):
             role, ids, x = t.column("role").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v"))
@@ -414,7 +415,7 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
             home = F.pmod(F.xxhash64("id"), parts) == F.col("p")
             sent = dealt.withColumn("role", F.when((F.col("role") == 3) & ~home, F.lit(2)).otherwise(F.col("role"))).withColumn("cell", F.xxhash64("cell", "p")).drop("p", "n")
             break
-        sent, sizes = _cut(rest, cell, 1, 7001 + 1009 * level)
+        sent, sizes = _cut(rest, cell, AGAIN_TABLES, 7001 + 1009 * level)
     last = searched(sent)
     part = (last if part is None else part.unionByName(last)).distinct()
     win = Window.partitionBy("region", "id").orderBy(F.round("distance", 12), "near")
