@@ -118,8 +118,11 @@ def _merge(top_d: np.ndarray, top_i: np.ndarray, who: np.ndarray, d: np.ndarray,
     top_d[who], top_i[who] = np.take_along_axis(ad, o, 1), np.take_along_axis(ai, o, 1)
 
 
-def search(data: np.ndarray, queries: np.ndarray, k: int, tables: int, n_probes: int, seed: int) -> np.ndarray:
-    """Candidate rows of ``data`` for each query, -1 where there are fewer: the best ``k`` by float distance."""
+def search(data: np.ndarray, queries: np.ndarray, k: int, tables: int, n_probes: int, seed: int, fill: bool = False) -> np.ndarray:
+    """Candidate rows of ``data`` for each query, -1 where there are fewer: the best ``k`` by float distance.
+
+    With ``fill`` a query whose buckets held too few is compared with all rows.
+    """
     n, keep = len(data), min(k, len(data))
     top_d = np.full((len(queries), k), np.inf, np.float32)
     top_i = np.full((len(queries), k), -1, np.int64)
@@ -175,10 +178,17 @@ def search(data: np.ndarray, queries: np.ndarray, k: int, tables: int, n_probes:
             _merge(top_d, top_i, np.arange(len(queries)), cur_d, cur_i, k)
         else:
             top_d, top_i = cur_d, cur_i
+    if fill and bits:
+        short = np.flatnonzero(~np.isfinite(top_d).all(1))
+        for lo in range(0, len(short), 512):
+            m = short[lo : lo + 512]
+            d = norms[None, :] - 2 * (queries[m] @ data.T)
+            top_i[m] = np.argpartition(d, k - 1, axis=1)[:, :k]
+            top_d[m] = 0
     return np.where(np.isfinite(top_d), top_i, -1)
 
 
-def neighbours(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, q_ids: np.ndarray, metric: str, longest: float | None, k: int, tables: int, n_probes: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def neighbours(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, q_ids: np.ndarray, metric: str, longest: float | None, k: int, tables: int, n_probes: int, seed: int, fill: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, neighbour id, distance): the k nearest of each query among ``ids``.
 
     Equal vectors are searched once, so that ties among them fall to the
@@ -198,7 +208,7 @@ def neighbours(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, q_ids:
     data, _ = embed(metric, vectors[first], longest)
     _, q = embed(metric, queries, longest)
     want = min(len(first), k + 4)
-    found = search(data, q, want, tables, n_probes, seed)
+    found = search(data, q, want, tables, n_probes, seed, fill)
     row = np.repeat(np.arange(len(q_ids)), want)[found.ravel() >= 0]
     cand = found.ravel()[found.ravel() >= 0]
     dist = exact(metric, queries[row], vectors[first[cand]])
@@ -334,6 +344,49 @@ def _cut(rows: DataFrame, bound: int, tables: int, seed: int) -> tuple[DataFrame
     return sent, both.mapInArrow(_spread(seed, True), "cell long").groupBy("cell").agg(F.count("*").alias("n"))
 
 
+def exhaustive(rows: DataFrame, asked: DataFrame, k: int, schema: str, block: int = 4096) -> DataFrame:
+    """(region, id, near, distance): the exact k nearest of a few vectors, in blocks that are compared with all rows.
+
+    Both frames have region, id, v and metric.  Each task keeps its own k best of a query.
+    """
+    n = asked.count()
+    blocks = max(1, -(-n // block))
+    out = None
+    for at in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("region", "id"), F.lit(blocks)) == at)
+        got = some.select("region", "id", "v").toArrow()
+        region, ids = got.column("region").to_numpy(), got.column("id").to_numpy()
+        vectors = [np.array(v, np.float32) for v in got.column("v").to_pylist()]
+        by = {r: (ids[region == r], np.stack([v for v, x in zip(vectors, region) if x == r])) for r in np.unique(region).tolist()}
+        sent = rows.sparkSession.sparkContext.broadcast(by)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], list[tuple[float, int]]] = {}
+            for b in batches:
+                here = b.column(0).to_numpy()
+                for r in np.unique(here).tolist():
+                    if r not in sent.value:
+                        continue
+                    s = b.filter(pa.array(here == r))
+                    q_ids, q = sent.value[r]
+                    metric, near = s.column(3)[0].as_py(), s.column(1).to_numpy()
+                    x = np.asarray(s.column(2).flatten().to_numpy(), np.float32).reshape(s.num_rows, -1)
+                    data, ask = (x, q) if metric == "inner" else (embed(metric, x, None)[0], embed(metric, q, None)[1])
+                    d = -(ask @ data.T) if metric == "inner" else (data * data).sum(1)[None] - 2 * (ask @ data.T)
+                    take = min(k + 8, d.shape[1])
+                    for i, cols in enumerate(np.argpartition(d, take - 1, axis=1)[:, :take]):
+                        found = [(round(float(e), 12), int(j)) for e, j in zip(exact(metric, q[i][None], x[cols]), near[cols]) if j != q_ids[i]]
+                        key = (r, int(q_ids[i]))
+                        best[key] = sorted(set(best.get(key, []) + found))[:k]
+            flat = [(r, i, j, e) for (r, i), found in best.items() for e, j in found]
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["region", "id", "near", "distance"])
+
+        found = rows.select("region", "id", "v", "metric").mapInArrow(scan, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL) -> DataFrame:
     """(region, id, near, distance): the k nearest others of every usable vector in its region.
 
@@ -361,7 +414,7 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
             ids = t.column("id").to_numpy()
             ids, first = np.unique(ids, return_index=True)
             x = _matrix(t.column("v"))[first]
-            qa, nb, dd = neighbours(ids, x, x, ids, t.column("metric")[0].as_py(), None, k, TABLES, PROBES, 11)
+            qa, nb, dd = neighbours(ids, x, x, ids, t.column("metric")[0].as_py(), None, k, TABLES, PROBES, 11, True)
             a.append(qa), b.append(nb), d.append(dd), r.append(np.full(len(qa), t.column("region")[0].as_py()))
             size += len(qa)
             if size > 200_000:
@@ -419,10 +472,17 @@ def nearest(atoms: DataFrame, regions: DataFrame, k: int = 5, cell: int = CELL)
     last = searched(sent)
     part = (last if part is None else part.unionByName(last)).distinct()
     win = Window.partitionBy("region", "id").orderBy(F.round("distance", 12), "near")
-    merged = part.withColumn("__r", F.row_number().over(win)).where(F.col("__r") <= k).drop("__r")
+    merged = materialise(part.withColumn("__r", F.row_number().over(win)).where(F.col("__r") <= k).drop("__r"), "near")
+    # A vector far from all others may meet too few of them: these few are compared with all.
+    counts = merged.groupBy("region", "id").agg(F.count("*").alias("c"))
+    lonely = mine.select("region", "id", "v", "metric", "n").join(counts, ["region", "id"], "left").where(F.coalesce("c", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1))
+    lonely = materialise(lonely, "lonely")
+    if not lonely.isEmpty():
+        exactly = exhaustive(mine, lonely, k, schema).distinct()
+        exactly = exactly.withColumn("__r", F.row_number().over(win)).where(F.col("__r") <= k).drop("__r")
+        merged = materialise(merged.join(lonely.select("region", "id"), ["region", "id"], "left_anti").select("region", "id", "near", "distance").unionByName(exactly), "near")
     if full.isEmpty():
         return out.unionByName(merged)
-    merged = materialise(merged, "near")
     theirs = merged.join(full.select("region", F.col("last").alias("id"), "h1", "h2"), ["region", "id"]).groupBy(*copies).agg(F.collect_list(F.struct("near", "distance")).alias("list"), F.first("id").alias("last"))
     further = join_checked(rows.select("region", "id", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2")), theirs, copies).where("id > last").select("region", "id", F.inline("list")).distinct()
     return out.unionByName(merged).unionByName(further)
