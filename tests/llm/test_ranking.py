@@ -1,6 +1,7 @@
 import math
 import random
 
+from tidewell import session
 from tidewell.llm import fusion_rank, topn
 
 
@@ -85,6 +86,18 @@ def test_median_rank_against_brute_force(spark):
     assert fusion_rank.median_rank(df.limit(0), "q", "i", ["a", "b", "c"], wd).count() == 0
 
 
+def test_hot_groups_rank_alike(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(r.choice([1, 1, 1, 2, 3]), i, r.choice([None, float("nan"), 1.0, 2.0, 3.5]), float(r.randint(0, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], "q long, i long, a double, b double").repartition(5)
+    w = spark.createDataFrame([(1, 0.3, 0.7), (2, None, None)], "q long, a double, b double")
+    ways = []
+    for hot in (10**9, 50):
+        monkeypatch.setattr(session, "HOT_ROWS", hot)
+        ways.append([{tuple(x) for x in fusion_rank.median_rank(df, "q", "i", ["a", "b"], w, top).collect()} for top in (None, 3)])
+    assert ways[0] == ways[1] and len(ways[0][0]) == 300 and len(ways[0][1]) == 9
+
+
 def test_recall_signals(spark):
     df = spark.createDataFrame([(1, 1, 9999.0, -1.0, -1.0, 1_700_000_000.0), (1, 2, 0.5, 0.0, 2.0, 1_700_000_000_000.0), (1, 3, None, math.nan, None, 0.0)], "query_id long, atom_id long, dist double, text_rank double, importance double, created_micros double")
     got = {r["atom_id"]: r for r in fusion_rank.recall_signals(df).collect()}

@@ -4,10 +4,11 @@ Every item's rank in each score depends only on order, so no score counts more
 for its range.  Items are ordered by weighted median rank, then weighted mean
 rank, then identifier.
 
-Ranks are made without ever giving one group to one task: the distinct values
-(combined before the shuffle) are range-partitioned by group and value, each
-partition counts its own part, and a small table of part totals gives the
-offsets.  A group that holds a third of all rows spans many partitions.
+A group that fits a task is ranked by windows after one shuffle.  The ranks of
+a hot group, found by a count, are made without ever giving it to one task: the
+distinct values (combined before the shuffle) are range-partitioned by group
+and value, each partition counts its own part, and a small table of part totals
+gives the offsets.  Both ways give equal rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import join_checked, materialise
+from tidewell.operators.ranges import running_total
+from tidewell.session import hot_keys, join_checked
 
 #: Weights that hold where a query has none (fixed values).
 DEFAULT_WEIGHTS = {"semantic": 0.45, "keyword": 0.2, "recency": 0.2, "importance": 0.15}
@@ -23,23 +25,6 @@ DEFAULT_WEIGHTS = {"semantic": 0.45, "keyword": 0.2, "recency": 0.2, "importance
 NO_DISTANCE = 9999.0
 
 
-def running_total(df: DataFrame, group: list[str], order: list[Column], amount: str, out: str) -> DataFrame:
-    """Sum of ``amount`` up to and with each row, within group, in order.
-
-    The order must be total inside a group.  The sorted rows are written with
-    their partition number, because a range partitioning made twice may cut
-    at other places.
-    """
-    parts = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__part", F.spark_partition_id())
-    parts = materialise(parts, "ranges")
-    inside = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy(*group, "__part").agg(F.sum(amount).alias("__t"))
-    offsets = totals.select(*group, "__part", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
-    local = parts.withColumn("__in", F.sum(amount).over(inside))
-    return local.join(offsets, [*group, "__part"]).withColumn(out, F.col("__in") + F.col("__off")).drop("__in", "__off", "__part")
-
-
 def average_ranks(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """``rows`` with ``rank`` by value descending; equal values share their mean rank."""
     values = rows.groupBy(*group, value).agg(F.count("*").alias("__n"))
@@ -48,6 +33,16 @@ def average_ranks(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return rows.join(ranked, [*group, value])
 
 
+def window_ranks(base: DataFrame, group: str, signals: list[str]) -> DataFrame:
+    """``base`` with ``__r0``, ``__r1``, ...: the ranks in each signal, equal values sharing their mean rank."""
+    out = base
+    for i, s in enumerate(signals):
+        w = Window.partitionBy(group).orderBy(F.col(s).desc())
+        upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn(f"__r{i}", (F.rank().over(w) + upto) / 2.0)
+    return out
+
+
 def weighted_median(pairs: Column) -> Column:
     """Least rank at which the weights of an array<struct<rank, w>> reach half."""
     ordered = F.array_sort(pairs)
@@ -74,22 +69,33 @@ def median_rank(scores: DataFrame, group: str, item: str, signals: list[str], we
     """
     worst = F.lit(float("-inf"))
     clean = [F.when(F.col(s).isNull() | F.isnan(s), worst).otherwise(F.col(s) + F.lit(0.0)).alias(s) for s in signals]
-    base = scores.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, item, *clean).distinct()
+    rows = scores.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, item, *clean)
+    w = weights.select(F.col(group), *[F.col(s).cast("double").alias(f"__w{i}") for i, s in enumerate(signals)]).dropDuplicates([group])
+    hot = hot_keys(rows.groupBy(group).agg(F.count("*").alias("n")), [group])
+
+    def scored(ranked: DataFrame) -> DataFrame:
+        both = join_checked(ranked, w, group, "left")
+        ws = [F.when((F.col(f"__w{i}") > 0) & ~F.isnan(f"__w{i}"), F.col(f"__w{i}")).otherwise(0.0) for i in range(len(signals))]
+        total = sum(ws[1:], ws[0])
+        ws = [F.when(total > 0, x).otherwise(1.0) for x in ws]
+        pairs = F.array(*[F.struct(F.col(f"__r{i}").alias("rank"), ws[i].alias("w")) for i in range(len(signals))])
+        mean = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["rank"] * x["w"]) / F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
+        return both.select(group, item, weighted_median(pairs).alias("median_rank"), F.round(mean, 9).alias("mean_rank"))
+
+    place = F.row_number().over(Window.partitionBy(group).orderBy("median_rank", "mean_rank", item))
+    cold = rows if hot is None else rows.join(F.broadcast(hot), group, "left_anti")
+    out = scored(window_ranks(cold.repartition(group).distinct(), group, signals)).withColumn("place", place)
+    out = out if top is None else out.where(F.col("place") <= top)
+    if hot is None:
+        return out
+    base = rows.join(F.broadcast(hot), group, "left_semi").distinct()
     long = base.select(group, item, F.explode(F.array(*[F.struct(F.lit(i).alias("signal"), F.col(s).alias("v")) for i, s in enumerate(signals)])).alias("x")).select(group, item, "x.*")
     ranked = average_ranks(long, [group, "signal"], "v").groupBy(group, item).agg(*[F.max(F.when(F.col("signal") == i, F.col("rank"))).alias(f"__r{i}") for i in range(len(signals))])
-    w = weights.select(F.col(group), *[F.col(s).cast("double").alias(f"__w{i}") for i, s in enumerate(signals)]).dropDuplicates([group])
-    both = join_checked(ranked, w, group, "left")
-    ws = [F.when((F.col(f"__w{i}") > 0) & ~F.isnan(f"__w{i}"), F.col(f"__w{i}")).otherwise(0.0) for i in range(len(signals))]
-    total = sum(ws[1:], ws[0])
-    ws = [F.when(total > 0, x).otherwise(1.0) for x in ws]
-    pairs = F.array(*[F.struct(F.col(f"__r{i}").alias("rank"), ws[i].alias("w")) for i in range(len(signals))])
-    mean = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["rank"] * x["w"]) / F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
-    out = both.select(group, item, weighted_median(pairs).alias("median_rank"), F.round(mean, 9).alias("mean_rank"))
-    if top is not None:
-        win = Window.partitionBy(group).orderBy("median_rank", "mean_rank", item)
-        return out.withColumn("place", F.row_number().over(win)).where(F.col("place") <= top)
-    one = out.withColumn("__one", F.lit(1))
-    return running_total(one, [group], [F.col("median_rank"), F.col("mean_rank"), F.col(item)], "__one", "place").drop("__one")
+    big = scored(ranked)
+    if top is not None:  # cut before the shuffle, so a hot group sends few rows
+        return out.unionByName(big.withColumn("place", place).where(F.col("place") <= top))
+    one = running_total(big.withColumn("__one", F.lit(1)), [group], [F.col("median_rank"), F.col("mean_rank"), F.col(item)], "__one", "place").drop("__one")
+    return out.unionByName(one.withColumn("place", F.col("place").cast("int")))
 
 
 def recall_signals(candidates: DataFrame) -> DataFrame:
