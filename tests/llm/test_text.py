@@ -151,6 +151,18 @@ def test_assign_fills_without_splitting():
     assert len({*zip(where.tolist(), place.tolist())}) == len(sizes)
 
 
+def test_assign_balances_cost():
+    rng = np.random.default_rng(9)
+    sizes = np.sort(np.minimum(2048, rng.lognormal(5, 1, 20_000).astype(int) + 1))[::-1]
+    where, _ = packing.assign(sizes, 2048, 1.0, 1 / 2048)
+    used, cost = np.bincount(where, sizes), np.bincount(where, sizes + sizes * sizes / 2048)
+    full = used >= 2000
+    assert full.mean() > 0.98 and used.max() <= 2048
+    # The quadratic part of a single long document cannot be balanced; the others lie close together.
+    others = cost[full & (np.bincount(where) > 3)]
+    assert others.std() / others.mean() < 0.15
+
+
 def test_pack_whole_texts(spark):
     long = "alpha beta gamma " * 2500
     df = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, long), (3, None), (4, ""), (5, "k")], "doc_id long, text string").selectExpr("*", "1 AS piece", "2 AS shard")

@@ -29,20 +29,30 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-@functools.cache
-def tokenizer(path: str):
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokenizer(path: str):
+    with open(path, "rb") as f:
+        return tokenizer_of(f.read())
+
+
 def count_pieces(df: DataFrame, key: str, text: str, capacity: int, vocabulary: str) -> DataFrame:
-    """(key, piece, first_token, n_tokens): one piece, or more where a text exceeds the capacity."""
+    """(key, piece, first_token, n_tokens): one piece, or more where a text exceeds the capacity.
+
+    The vocabulary is read on the driver and broadcast, so that executors need no file.
+    """
+    with open(vocabulary, "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = tokenizer_of(sent.value).encode_ordinary
         for b in batches:
             n = np.array([len(encode(t)) for t in b.column(1).to_pylist()], np.int64)
             pieces = np.maximum(1, -(-n // capacity))

@@ -4,7 +4,8 @@
    by bucket, group, score and id, and a streaming pass keeps, of each group,
    only the rows that can still come out (the run's own first N).
 2. A run's part for one bucket is stored as list columns, in chunks, so the
-   order inside it survives shuffles and storage as it is.
+   order inside it survives shuffles and storage as it is; the runs are
+   written to the shared folder, so that a lost executor costs no new sort.
 3. Runs of a bucket are merged ``fan_in`` at a time by a loser tree over the
    run heads; after N rows of a group, every run seeks to its next group.
    Levels are added until one run per bucket is left, so a group present in
@@ -23,7 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import materialise
+
 CHUNK = 65_536
+#: Groups of a bucket, about: with ``fan_in`` runs of ``n`` rows each, what one task merges.
+GROUPS = 5_000
 
 
 class LoserTree:
@@ -224,7 +229,10 @@ def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int = 1
         raise ValueError("n must be positive and fan_in at least 2")
     parts = max(1, df.rdd.getNumPartitions())
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = build_runs(df, group, score, item, n, buckets or max(parts, shuffle))
+    if buckets is None:  # no more than some groups a bucket, whatever their number
+        groups = df.agg(F.approx_count_distinct(group)).first()[0]
+        buckets = max(parts, shuffle, groups // GROUPS + 1)
+    runs = materialise(build_runs(df, group, score, item, n, buckets), "runs")
     for _ in range(max(0, math.ceil(math.log(parts, fan_in)) - 1)):
         runs = merge_level(runs, n, fan_in)
     kinds = dict(df.dtypes)
