@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import json as J
-from tidewell.session import materialise
+from tidewell.session import materialise, read_all
 
 # BM25 and fusion constants.
 K1, B = 1.2, 0.75
@@ -77,15 +77,15 @@ def graph_expand(edges: DataFrame, seeds: DataFrame, depth: int, kinds: list[str
     """(id, depth, score): nodes within ``depth`` steps, least depth each, score 1 / (depth + 1)."""
     e = edges.where(F.col("kind").isin(kinds)) if kinds else edges
     e = e.select("src_id", F.col("dst_id").alias("next")).distinct()
-    seen = materialise(seeds.select(F.col("id")).distinct().withColumn("depth", F.lit(0)), "graph")
-    front = seen
+    front = materialise(seeds.select(F.col("id")).distinct().withColumn("depth", F.lit(0)), "graph")
+    levels = [front]
     for d in range(1, depth + 1):
-        new = front.join(e, F.col("id") == F.col("src_id")).select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        new = front.join(e, F.col("id") == F.col("src_id")).select(F.col("next").alias("id")).distinct().join(read_all(levels).select("id"), "id", "left_anti")
         front = materialise(new.withColumn("depth", F.lit(d)), "graph")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen.withColumn("score", 1.0 / (F.col("depth") + 1))
+        levels.append(front)
+    return read_all(levels).withColumn("score", 1.0 / (F.col("depth") + 1))
 
 
 def would_cycle(edges: DataFrame, kind: str, src: int, dst: int) -> bool:

@@ -198,6 +198,14 @@ class Memory:
         self.edges = merged
         return changed
 
+    def update_payload(self, name: str, atom_id: int, payload: str) -> None:
+        """Replace an atom's payload; an absent or immutable atom is an error."""
+        row = self.fetch_one(name, atom_id).select("immutable").first()
+        if row is None or row["immutable"] == 1:
+            raise ValueError(f"atom {atom_id} is {'absent' if row is None else 'immutable'}")
+        hit = (F.col("region_id") == self.region(name).id) & (F.col("id") == atom_id)
+        self.atoms = dml.update(self.atoms, {"payload": F.lit(payload)}, hit)[0]
+
     def recall(self, name: str, query_vector: list[float], text: str, k: int, now_micros: int, kinds: list[str] | None = None, payload: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
         """Hybrid recall in one region, of some kinds and with a payload that contains ``payload``."""
         r = self.region(name)

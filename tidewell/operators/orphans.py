@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import hot_keys, join_hot, materialise
+from tidewell.session import hot_keys, join_hot, materialise, read_all
 
 
 @dataclass(frozen=True)
@@ -142,23 +142,18 @@ def cascade(refs: list[Reference], max_rounds: int = 10_000) -> DataFrame:
     levels = [frontier]
     for depth in range(1, max_rounds + 1):
         reached = join_hot(steps, frontier.select(*keys), keys, hot).select(F.col("c").alias("__p"), F.col("i").alias("__k")).distinct()
-        known = _read_all(levels).select(*keys)
+        known = read_all(levels).select(*keys)
         frontier = materialise(reached.join(known, keys, "left_anti").withColumn("depth", F.lit(depth + 1)), "frontier")
         if frontier.isEmpty():
             break
         levels.append(frontier)
     else:
         raise RuntimeError(f"records are still orphaned after {max_rounds} rounds")
-    rows = join_hot(links, _read_all(levels), keys, hot).groupBy("tbl", "side", "record").agg(F.min("made_at").alias("made_at"), F.min("depth").alias("depth"))
+    rows = join_hot(links, read_all(levels), keys, hot).groupBy("tbl", "side", "record").agg(F.min("made_at").alias("made_at"), F.min("depth").alias("depth"))
     inherited = rows.join(direct.select("tbl", "side", "record"), ["tbl", "side", "record"], "left_anti").withColumn("origin", F.lit("inherited"))
     return direct.drop("id").unionByName(inherited)
 
 
-def _read_all(levels: list[DataFrame]) -> DataFrame:
-    """Written tables of one schema as one scan, so that the plan does not grow."""
-    return levels[0].sparkSession.read.schema(levels[0].schema).parquet(*[f for t in levels for f in t.inputFiles()])
-
-
 def report(orphans: DataFrame, period: str = "month") -> DataFrame:
     """Orphans per table, side, period and origin: (tbl, side, period, origin, n)."""
     return orphans.groupBy("tbl", "side", F.date_trunc(period, F.col("made_at").cast("timestamp")).cast("timestamp_ntz").alias("period"), "origin").agg(F.count("*").alias("n"))

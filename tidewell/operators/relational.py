@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
+from tidewell.session import materialise, read_all
 
 _OPS: dict[str, Callable[[Column, Column], Column]] = {
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b,
@@ -82,20 +82,20 @@ def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max
     written to the shared folder, and only new rows are expanded.
     """
     new = materialise(seed.distinct() if distinct else seed, "recursive")
-    seen = new
+    levels = [new]
     for _ in range(max_rounds):
         if new.isEmpty():
-            return seen
+            return read_all(levels)
         nxt = step(new)
         if distinct:
             # Null-safe, so that rows with NULLs are recognised too.
             nxt = nxt.distinct()
             cond = None
-            old = seen.select(*[F.col(c).alias(f"__{c}") for c in seen.columns])
-            for c in seen.columns:
+            old = read_all(levels).select(*[F.col(c).alias(f"__{c}") for c in new.columns])
+            for c in new.columns:
                 eq = F.col(c).eqNullSafe(F.col(f"__{c}"))
                 cond = eq if cond is None else cond & eq
             nxt = nxt.join(old, cond, "left_anti")
-        new = materialise(nxt.select(*seen.columns), "recursive")
-        seen = seen.unionByName(new)
+        new = materialise(nxt.select(*new.columns), "recursive")
+        levels.append(new)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

@@ -144,6 +144,31 @@ def fk_actions(spark: SparkSession, d: str) -> DataFrame:
     return nulled.join(defaulted, "o_orderkey").withColumn("refused", F.lit(refused))
 
 
+@query("SELECT 'statement' AS at, true AS refused UNION ALL SELECT 'commit', true UNION ALL SELECT 'mended', false")
+def fk_deferred(spark: SparkSession, d: str) -> DataFrame:
+    """A deferrable key is checked by each statement outside a transaction, at COMMIT inside one."""
+    cat = _catalog(spark, d, "region")
+    rules = Constraints(primary_key=("n_nationkey",), foreign=[ForeignKey("n_regionkey", "region", "r_regionkey", deferred=True)])
+    cat.create("nation", table(spark, d, "nation").select("n_nationkey", "n_regionkey"), rules)
+    out = []
+
+    def tried(at: str, change) -> None:
+        try:
+            change()
+            out.append((at, False))
+        except ConstraintError:
+            out.append((at, True))
+
+    stray = spark.createDataFrame([(900, 77)], "n_nationkey long, n_regionkey long")
+    tried("statement", lambda: cat.insert("nation", stray))
+    cat.begin()
+    cat.insert("nation", stray)
+    tried("commit", cat.commit)
+    cat.insert("region", spark.createDataFrame([(77, "X")], "r_regionkey long, r_name string"))
+    tried("mended", cat.commit)
+    return spark.createDataFrame(out, "at string, refused boolean")
+
+
 @query("SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer")
 def trigger_before(spark: SparkSession, d: str) -> DataFrame:
     """BEFORE INSERT row triggers in name order, one with WHEN."""

@@ -47,6 +47,12 @@ def fts_not(spark: SparkSession, d: str) -> DataFrame:
     return fts.search(index(spark, d, "english"), fts.to_tsquery("!court | verdict")).select(F.col("k").alias("doc_id"))
 
 
+@query(f"SELECT doc_id FROM {_T} WHERE ({_any('verdict')} AND NOT {_any('bail')}) OR len(list_filter(range(1, len(w)), lambda i: w[i] = 'criminal' AND w[i + 1] = 'court')) > 0")
+def fts_websearch(spark: SparkSession, d: str) -> DataFrame:
+    """Words, a quoted phrase, ``or`` and a minus."""
+    return fts.search(index(spark, d, "simple"), fts.websearch_to_tsquery('verdict -bail or "criminal court"', "simple")).select(F.col("k").alias("doc_id"))
+
+
 _PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'criminal' AND w[i + 1] = 'court')) > 0"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import scalar as S
 from tidewell.operators import relational as R
-from tidewell.operators.ranges import number_rows
+from tidewell.operators.ranges import number_rows, ranked, sliding
 from tidewell.plans.registry import query, sql
 from tidewell.session import configure, table
 
@@ -101,6 +101,29 @@ sql("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_cust
 sql("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20)")
 sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 sql("anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+sql("anti_not_in_null", "SELECT s_suppkey, s_suppkey IN (SELECT c_custkey FROM customer WHERE c_custkey < 50) AS known FROM supplier WHERE s_nationkey NOT IN (SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey END FROM nation WHERE n_regionkey < 2) OR s_suppkey < 5")
+
+
+@query("SELECT 'add' AS op, true AS refused UNION ALL SELECT 'multiply', true UNION ALL SELECT 'abs', true UNION ALL SELECT 'zero', true")
+def arith_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """Integers beyond 64 bits and division by zero are errors."""
+    configure(spark)
+    most, least = F.lit(2**63 - 1).cast("long"), F.lit(-(2**63)).cast("long")
+    out = []
+    for op, c in (("add", most + F.lit(1).cast("long")), ("multiply", most * F.lit(2).cast("long")), ("abs", S.abs_(least)), ("zero", S.div(F.lit(1).cast("long"), F.lit(0).cast("long")))):
+        try:
+            table(spark, d, "region").select(c.alias("x")).collect()
+            out.append((op, False))
+        except Exception as e:  # noqa: BLE001
+            out.append((op, "overflow" in str(e).lower() or "zero" in str(e).lower()))
+    return spark.createDataFrame(out, "op string, refused boolean")
+
+
+@query("SELECT c_custkey, hex(encode(c_name || c_mktsegment)) AS blob FROM customer")
+def concat_blob(spark: SparkSession, d: str) -> DataFrame:
+    """``||`` of bytes."""
+    configure(spark)
+    return table(spark, d, "customer").select("c_custkey", F.hex(F.concat(F.encode("c_name", "UTF-8"), F.encode("c_mktsegment", "UTF-8"))).alias("blob"))
 
 
 @query("SELECT c_custkey, o_orderkey, o_totalprice, CAST(rn AS INTEGER) AS rn FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) ON c_custkey = o_custkey WHERE rn <= 3")
@@ -130,14 +153,32 @@ sql("agg_rollup", "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGIN
 # Windows.
 _W = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey)"
 sql("row_number", f"SELECT o_orderkey, CAST(row_number() {_W} AS BIGINT) AS rn FROM orders")
-sql("rank", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r FROM orders")
-sql("dense_rank", "SELECT o_orderkey, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r FROM orders")
+@query("SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r FROM orders")
+def rank(spark: SparkSession, d: str) -> DataFrame:
+    """Few and large groups: ranks by ranges."""
+    configure(spark)
+    return ranked(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus"], "o_orderpriority", "r", "dense").select("o_orderkey", "r")
+
+
+@query("SELECT o_orderkey, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r FROM orders")
+def dense_rank(spark: SparkSession, d: str) -> DataFrame:
+    configure(spark)
+    return ranked(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus"], "o_orderpriority", "rank", "r").select("o_orderkey", "r")
+
+
+@query("SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)")
+def win_minmax_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Few and large groups: frames in blocks."""
+    configure(spark)
+    rows = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return sliding(rows, ["event_type"], [F.col("ts"), F.col("event_id")], 5, 5, {"lo": F.min("value"), "hi": F.max("value")}).select("event_id", "lo", "hi")
+
+
 sql("ntile", "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q FROM customer")
 sql("lag_lead", f"SELECT o_orderkey, lag(o_totalprice) {_W} AS before, lead(o_totalprice, 2, 0.0) {_W} AS after2 FROM orders")
 sql("first_last_value", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)")
 sql("win_sum_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS s, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events")
 sql("win_avg_range", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 7.3, 3) AS a FROM orders")
-sql("win_minmax_sliding", "SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)")
 sql("win_whole_partition", "SELECT c_custkey, round(sum(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS s, CAST(count(*) OVER (PARTITION BY c_nationkey) AS BIGINT) AS n FROM customer")
 sql("win_over_agg", "SELECT c_nationkey, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey) x")
 

@@ -167,6 +167,18 @@ def rrf(spark: SparkSession, d: str) -> DataFrame:
     return memory.rrf([by("score"), by("access_count")], "id").select("id", F.round("rrf", 9).alias("rrf"))
 
 
+_SOME = _FUSED.replace("WHERE region_id = 1 AND", "WHERE region_id = 1 AND kind IN ('fact', 'event') AND json_valid(payload) AND CAST(payload AS JSON)->>'topic' = 'law' AND", 1).replace("q AS (SELECT v AS q FROM a", "q AS (SELECT v AS q FROM (" + _HARBOR.removeprefix("a AS (") + " a").replace("SELECT v AS q FROM (SELECT", "SELECT v AS q FROM (SELECT")
+
+
+@query(f"WITH {_SOME} SELECT id, round(fused, 6) AS fused FROM u ORDER BY u.fused DESC, id LIMIT 20")
+def recall_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of two kinds whose payload contains a topic."""
+    a, q = _harbor(spark, d)
+    m = memory_store.Memory(spark, a)
+    m.create_region("harbor", len(q), "cosine", 1)
+    return m.recall("harbor", q, _ASK, 20, 1_767_225_600_000_000, kinds=["fact", "event"], payload='{"topic": "law"}').select("id", F.round("fused", 6).alias("fused"))
+
+
 _SECOND = "len(list_filter(regexp_extract_all(lower(coalesce(text_content, '')), '[a-z]+'), lambda z: z IN ('atom', 'recall', 'window')))"
 _POOL = f"pool AS (SELECT id, fused, CAST({_SECOND} AS DOUBLE) AS ce FROM (SELECT * FROM u ORDER BY u.fused DESC, id LIMIT 256))"
 

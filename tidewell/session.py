@@ -81,6 +81,11 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def read_all(tables: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one scan, so that a plan does not grow with their number."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[f for t in tables for f in t.inputFiles()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
