@@ -176,3 +176,31 @@ bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
 }
 ORACLES["p8_clean"] = f"SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({ORACLES['p8_found']}))"
+
+_D = "d AS (SELECT DISTINCT doc_id, {w} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT DISTINCT item_id, {v} AS w FROM benchmark WHERE text IS NOT NULL)".format(w=_WORDS.format("text"), v=_WORDS.format("text"))
+ORACLES["p8_matches"] = f"""
+WITH f AS ({ORACLES['p8_found']}), {_D},
+dw AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM f)),
+bw AS (SELECT item_id, unnest(w) AS x, unnest(range(0, len(w))) AS j FROM b WHERE item_id IN (SELECT item_id FROM f)),
+m AS (SELECT doc_id, item_id, i, j, i - j AS g, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM f JOIN dw USING (doc_id) JOIN bw USING (item_id) WHERE dw.x = bw.x)
+SELECT doc_id, item_id, count(*) AS n_words, CAST(min(i) AS BIGINT) AS doc_word, CAST(min(j) AS BIGINT) AS item_word FROM m GROUP BY doc_id, item_id, g, run HAVING count(*) >= 12"""
+
+# The exact answers, which the hashed and sampled searches are compared with.
+_NEAR = """
+WITH u AS (SELECT DISTINCT a.region_id, a.id, CAST(a.embedding AS DOUBLE[]) AS v, r.embedding_metric AS metric FROM atoms a JOIN memory_regions r ON a.region_id = r.id
+    WHERE len(a.embedding) = r.embedding_dim AND len(list_filter(a.embedding, lambda z: z IS NULL OR isnan(z))) = 0 AND len(list_filter(a.embedding, lambda z: z <> 0)) > 0),
+p AS (SELECT a.region_id, a.id, b.id AS near, CASE a.metric WHEN 'l2' THEN list_distance(a.v, b.v) WHEN 'inner' THEN -list_inner_product(a.v, b.v) ELSE list_cosine_distance(a.v, b.v) END AS dist
+    FROM u a JOIN u b ON a.region_id = b.region_id AND a.id <> b.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY region_id, id ORDER BY round(dist, 12), near) AS r FROM p)"""
+ORACLES["p5_found"] = f"{_NEAR} SELECT DISTINCT least(id, near) AS atom_a, greatest(id, near) AS atom_b FROM n WHERE r <= 5"
+ORACLES["p5_neighbours"] = f"{_NEAR} SELECT region_id, id AS atom_id, near AS near_id, round(dist, 6) AS distance FROM n WHERE r <= 5 AND id % 50 = 0"
+
+_UNITS = f"""
+WITH w AS (SELECT input_id, unnest({_WORDS.format("concat_ws(' ', text, payload)")}) AS x FROM (SELECT DISTINCT input_id, text, payload FROM atom_inputs)),
+t AS (SELECT input_id, x, row_number() OVER (PARTITION BY input_id, x) AS m FROM w),
+s AS (SELECT input_id, count(*) AS n FROM w GROUP BY input_id)"""
+ORACLES["p6_found"] = f"""{_UNITS},
+c AS (SELECT a.input_id AS input_a, b.input_id AS input_b, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.m = b.m AND a.input_id < b.input_id GROUP BY ALL)
+SELECT input_a, input_b FROM c JOIN s p ON p.input_id = input_a JOIN s q ON q.input_id = input_b WHERE shared >= 0.7 * (p.n + q.n - shared) - 1e-9"""
+ORACLES["p6_members"] = f"""{_UNITS}
+SELECT input_id, min(input_id) OVER (PARTITION BY text, payload) AS representative FROM (SELECT DISTINCT input_id, text, payload FROM atom_inputs) JOIN s USING (input_id)"""
