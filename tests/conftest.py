@@ -5,11 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidewell.session import get_session
+from tidewell.session import get_session, release
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = get_session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    s = get_session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.checkpoint.dir": str(shared)})
     yield s
+    release(s)
     s.stop()
