@@ -199,8 +199,17 @@ _UNITS = f"""
 WITH w AS (SELECT input_id, unnest({_WORDS.format("concat_ws(' ', text, payload)")}) AS x FROM (SELECT DISTINCT input_id, text, payload FROM atom_inputs)),
 t AS (SELECT input_id, x, row_number() OVER (PARTITION BY input_id, x) AS m FROM w),
 s AS (SELECT input_id, count(*) AS n FROM w GROUP BY input_id)"""
-ORACLES["p6_found"] = f"""{_UNITS},
-c AS (SELECT a.input_id AS input_a, b.input_id AS input_b, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.m = b.m AND a.input_id < b.input_id GROUP BY ALL)
-SELECT input_a, input_b FROM c JOIN s p ON p.input_id = input_a JOIN s q ON q.input_id = input_b WHERE shared >= 0.7 * (p.n + q.n - shared) - 1e-9"""
+_LINKED = """
+c AS (SELECT a.input_id AS input_a, b.input_id AS input_b, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.m = b.m AND a.input_id < b.input_id GROUP BY ALL),
+pairs AS (SELECT input_a, input_b FROM c JOIN s p ON p.input_id = input_a JOIN s q ON q.input_id = input_b WHERE shared >= 0.7 * (p.n + q.n - shared) - 1e-9)"""
+ORACLES["p6_found"] = f"{_UNITS}, {_LINKED} SELECT input_a, input_b FROM pairs"
 ORACLES["p6_members"] = f"""{_UNITS}
 SELECT input_id, min(input_id) OVER (PARTITION BY text, payload) AS representative FROM (SELECT DISTINCT input_id, text, payload FROM atom_inputs) JOIN s USING (input_id)"""
+ORACLES["p6_groups"] = f"""
+WITH RECURSIVE {_UNITS.strip().removeprefix('WITH ')}, {_LINKED},
+g AS (SELECT input_id, string_agg(x || '#' || m, ' ' ORDER BY x, m) AS bag FROM t GROUP BY input_id),
+k AS (SELECT input_id, min(input_id) OVER (PARTITION BY bag) AS rep FROM g),
+e AS (SELECT DISTINCT p.rep AS a, q.rep AS b FROM (SELECT input_a, input_b FROM pairs UNION ALL SELECT input_b, input_a FROM pairs) JOIN k p ON p.input_id = input_a JOIN k q ON q.input_id = input_b WHERE p.rep <> q.rep),
+r AS (SELECT DISTINCT rep AS v, rep AS u FROM k UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
+o AS (SELECT v, min(u) AS group_id FROM r GROUP BY v), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT input_id, group_id, coalesce(n.n, 0) AS n_links FROM k JOIN o ON o.v = rep LEFT JOIN n ON n.a = rep"""
