@@ -206,3 +206,33 @@ def test_subjects(spark):
     right = sum(got.get(d, set()) == t for d, t in truth.items())
     assert right >= 0.97 * len(truth)
     assert subjects.subjects(df.limit(0)).count() == 0
+
+
+def test_word_lookup():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(-(2**31), 2**31, 60_000))
+    find = subjects.Lookup(codes)
+    assert (find(codes) == np.arange(len(codes))).all()
+    other = np.setdiff1d(rng.integers(-(2**31), 2**31, 50_000), codes)
+    assert (find(other) == -1).all() and (subjects.Lookup(codes[:0])(other) == -1).all()
+
+
+def test_subjects_of_each_language(spark):
+    r = random.Random(3)
+    seeds = {"en": slice(0, 8), "de": slice(-14, -8), "es": slice(-6, None)}
+    docs, truth, d = [], {}, 0
+    for lang, share in (("en", 200), ("de", 60), ("es", 60)):
+        frame = subjects.FUNCTION_WORDS[lang].split()
+        for _ in range(share):
+            mine = r.sample(subjects.SUBJECTS, r.choice([0, 1, 1, 2]))
+            sents = [" ".join(r.sample(subjects.SEEDS[s].split()[seeds[lang]], 2) + r.sample(frame, 6)) for s in mine for _ in range(3)]
+            sents += [" ".join(r.sample(frame, 8)) for _ in range(3)]
+            r.shuffle(sents)
+            docs.append((d, ". ".join(sents) + "."))
+            truth[d] = set(mine)
+            d += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got: dict = {}
+    for x in subjects.subjects(df).collect():
+        got.setdefault(x.doc_id, set()).add(x.subject)
+    assert sum(got.get(k, set()) == v for k, v in truth.items()) >= 0.95 * len(truth)
