@@ -59,11 +59,12 @@ def parent_state(parent: Parent, asked: DataFrame) -> DataFrame:
     (some reference was made before ``stored``).
     """
     stored = F.max(parent.stored_at) if parent.stored_at else F.lit(None).cast("timestamp_ntz")
-    there = parent.rows.where(F.col(parent.key).isNotNull()).groupBy(F.col(parent.key).alias("k")).agg(stored.alias("stored"), F.lit(True).alias("there"))
+    kind = asked.schema["k"].dataType
+    there = parent.rows.where(F.col(parent.key).isNotNull()).groupBy(F.col(parent.key).cast(kind).alias("k")).agg(stored.alias("stored"), F.lit(True).alias("there"))
     state = asked.join(there, "k", "left")
     gone: Column = F.lit(False)
     if parent.deleted is not None:
-        last = parent.deleted.groupBy(F.col(parent.deleted_key).alias("k")).agg(F.max(parent.deleted_at).alias("gone_at"))
+        last = parent.deleted.groupBy(F.col(parent.deleted_key).cast(kind).alias("k")).agg(F.max(parent.deleted_at).alias("gone_at"))
         state = state.join(last, "k", "left")
         gone = F.coalesce(F.col("gone_at") >= F.col("stored"), F.lit(False))
     reason = F.when(F.col("there").isNull(), "missing").when(gone, "deleted")
@@ -110,40 +111,41 @@ def cascade(refs: list[Reference], max_rounds: int = 10_000) -> DataFrame:
 
     ``record`` is the row's key as JSON.  ``origin`` is ``direct`` (depth 0) or
     ``inherited``; a row and side that is both counts as direct, and an
-    inherited one has its least depth.  Each round semi-joins the references
-    that can inherit with the records orphaned in the round before, and writes
-    the newly orphaned ones to the shared folder; known records are taken out,
-    so that a cycle ends.  What each round reads are only the names of records
-    and parents, written once; the inherited rows themselves are made at the
-    end.  More than ``max_rounds`` rounds raise an error.  Tables without
-    references give no rows.
+    inherited one has its least depth.  All references are written once, under
+    the names of their record and parent; the state of a parent is asked once
+    for all references to it.  Each round semi-joins the references with the
+    records orphaned in the round before, and writes the newly orphaned ones;
+    known records are taken out, so that a cycle ends.  The inherited rows
+    themselves are made at the end.  More than ``max_rounds`` rounds raise an
+    error.  Tables without references give no rows.
     """
-    children, parents = {r.child for r in refs}, {r.parent.name for r in refs}
+    keys = ["__p", "__k"]
     parts = []
     for r in refs:
-        d = direct_orphans(r)
-        parts.append(d.select(F.lit(r.child).alias("tbl"), "side", _keys(d, r).alias("record"), "made_at", _name(r).alias("id")))
-    direct = materialise(_union(parts).withColumn("origin", F.lit("direct")).withColumn("depth", F.lit(0)), "orphans")
-    able = [r for r in refs if r.parent.name in children]
-    if not able:
-        return direct.drop("id")
-    parts = []
-    for r in able:
         rows = r.rows.where(F.col(r.column).isNotNull())
         made = F.col(r.made_at) if r.made_at else F.lit(None).cast("timestamp_ntz")
-        names = [F.lit(r.child).alias("tbl"), F.lit(r.side).alias("side"), _keys(rows, r).alias("record"), made.alias("made_at"), _name(r).alias("id"), F.lit(r.parent.name).alias("__p"), F.col(r.column).cast("string").alias("__k")]
-        parts.append(rows.select(*names))
+        parts.append(rows.select(F.lit(r.child).alias("tbl"), F.lit(r.side).alias("side"), _keys(rows, r).alias("record"), made.alias("made_at"), _name(r).alias("id"), F.lit(r.parent.name).alias("__p"), F.col(r.column).cast("string").alias("__k")))
     links = materialise(_union(parts), "links")
-    keys = ["__p", "__k"]
-    hot = hot_keys(links.groupBy(*keys).agg(F.count("*").alias("n")), keys)
-    steps = links.where(F.col("tbl").isin(sorted(parents)) & F.col("id").isNotNull()).select(*keys, F.col("tbl").alias("c"), F.col("id").alias("i"))
-    named = direct.where(F.col("tbl").isin(sorted(parents)) & F.col("id").isNotNull())
+    asked = materialise(links.groupBy(*keys).agg(F.min("made_at").alias("first_made"), F.count("*").alias("n")), "asked")
+    hot = hot_keys(asked, keys)
+    states = []
+    for parent in {r.parent.name: r.parent for r in refs}.values():
+        mine = asked.where(F.col("__p") == parent.name).select(F.col("__k").alias("k"), "first_made")
+        states.append(parent_state(parent, mine).select(F.lit(parent.name).alias("__p"), F.col("k").alias("__k"), "reason", "stored"))
+    bad = join_hot(links, _union(states), keys, hot).where(F.col("reason").isNotNull() | (F.col("stored") > F.col("made_at")))
+    direct = bad.select("tbl", "side", "record", "made_at", "id").dropDuplicates(["tbl", "side", "record"])
+    direct = materialise(direct.withColumn("origin", F.lit("direct")).withColumn("depth", F.lit(0)), "orphans")
+    both = sorted({r.child for r in refs} & {r.parent.name for r in refs})
+    if not both:
+        return direct.drop("id")
+    links = links.where(F.col("__p").isin(both))
+    steps = links.where(F.col("tbl").isin(both) & F.col("id").isNotNull()).select(*keys, F.col("tbl").alias("c"), F.col("id").alias("i"))
+    named = direct.where(F.col("tbl").isin(both) & F.col("id").isNotNull())
     frontier = materialise(named.select(F.col("tbl").alias("__p"), F.col("id").alias("__k"), F.lit(1).alias("depth")).distinct(), "frontier")
     levels = [frontier]
     for depth in range(1, max_rounds + 1):
         reached = join_hot(steps, frontier.select(*keys), keys, hot).select(F.col("c").alias("__p"), F.col("i").alias("__k")).distinct()
-        known = read_all(levels).select(*keys)
-        frontier = materialise(reached.join(known, keys, "left_anti").withColumn("depth", F.lit(depth + 1)), "frontier")
+        frontier = materialise(reached.join(read_all(levels).select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth + 1)), "frontier")
         if frontier.isEmpty():
             break
         levels.append(frontier)
