@@ -90,13 +90,20 @@ def _short_runs(s: str) -> list[tuple[int, int]]:
     return out
 
 
-def _disguised(low: str, words: set[str]) -> bool:
-    """Whether a lower-case text with these words may hold a disguise at all (cheap, never misses one)."""
-    return "dot" in low or "at" in low and _AT_FORM.search(low) is not None or not _DIGIT_SET.isdisjoint(words)
+def _disguised(low: str, words: list[str]) -> bool:
+    """Whether a lower-case text with these words may hold a disguise at all (cheap, never misses one).
+
+    A lone digit word matters only beside the figures of the rest of a number.
+    """
+    if "dot" in low or "at" in low and _AT_FORM.search(low):
+        return True
+    if _DIGIT_SET.isdisjoint(words):
+        return False
+    return sum(w in _DIGIT_SET for w in words) > 1 or sum(map(str.isdigit, low)) >= 6
 
 
-def _words_of(low: str) -> set[str]:
-    return set(low.translate(_BREAKS).split())
+def _words_of(low: str) -> list[str]:
+    return low.translate(_BREAKS).split()
 
 
 def normalise(text: str) -> tuple[str, list[int] | None]:
