@@ -7,7 +7,7 @@ is the similarity that is asked for: the chance to become a candidate depends
 on it alone, not on how rare the shingles are.  (Under TF-IDF weights it has no
 lower bound: records that share frequent words and differ in rare ones fall far
 below the threshold.)  Samples are joined into bands.  A band row carries one
-bit of each of 128 samples, so that two records that only share a band are told
+bit of each of 256 samples, so that two records that only share a band are told
 apart where they meet, and few pairs travel on to be verified by the exact
 similarity.  Equal bags are one class from the start.
 """
@@ -32,7 +32,9 @@ THRESHOLD = 0.7
 #: A pair at the threshold is missed by all bands with the probability (1 - 0.7 ** 6) ** 56 = 0.0009, one at 0.8 with 4e-8.
 ROWS, BANDS = 6, 56
 #: Samples of which a band row carries a bit, and how far below the expected agreement a pair may lie (4e-6 of them lie further).
-SKETCH, DEVIATIONS = 128, 4.5
+SKETCH, DEVIATIONS = 256, 4.5
+SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]  # its columns
+_LONGS = ", ".join(f"{s} long" for s in SKETCHES)
 #: Shingles in more than this share of the records are counted in a broadcast table, which bounds it.
 FREQUENT = 0.002
 #: A band with more records is not enumerated: they go the exact way by rare-shingle prefixes.
@@ -164,7 +166,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 
 def band_rows(reps: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(band long, k, total, s0 long, s1 long): one row a record and band, with the record's sketch."""
+    """(band long, k, total, s0 long, ...): one row a record and band, with the record's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _blocks(batches, BLOCK):
@@ -184,9 +186,9 @@ def band_rows(reps: DataFrame, rows: int, bands: int) -> DataFrame:
             cols = [t.column(0).chunk(0), t.column(2).chunk(0), *(pa.array(x.view(np.int64)) for x in sketch)]
             for key in keys:
                 for lo in range(0, t.num_rows, 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[lo : lo + 10_000]), *(x.slice(lo, 10_000) for x in cols)], names=["band", "k", "total", "s0", "s1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[lo : lo + 10_000]), *(x.slice(lo, 10_000) for x in cols)], names=["band", "k", "total", *SKETCHES])
 
-    return reps.select("k", "u", "total").mapInArrow(run, f"band long, k {dict(reps.dtypes)['k']}, total int, s0 long, s1 long")
+    return reps.select("k", "u", "total").mapInArrow(run, f"band long, k {dict(reps.dtypes)['k']}, total int, {_LONGS}")
 
 
 def least_agreement(threshold: float) -> float:
@@ -202,7 +204,7 @@ def _pair_up(threshold: float, wide: int):
     def candidates(t: pa.Table) -> pa.RecordBatch | None:
         """Pairs of the whole bands of ``t``, whose width allows it."""
         band, total = t.column(0).to_numpy(), t.column(2).to_numpy().astype(np.float64)
-        sketch = [t.column(i).to_numpy().view(np.uint64) for i in (3, 4)]
+        sketch = [t.column(s).to_numpy().view(np.uint64) for s in SKETCHES]
         lefts, rights = [], []
         at = np.arange(len(band))
         for step in range(1, wide):
@@ -221,7 +223,7 @@ def _pair_up(threshold: float, wide: int):
         a, b = k.take(pa.array(np.concatenate(lefts))), k.take(pa.array(np.concatenate(rights)))
         less = pc.less(a, b)
         none = pa.nulls(len(a), pa.int64())
-        out = pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), none, none], names=["a", "b", "s0", "s1"])
+        out = pa.RecordBatch.from_arrays([pc.if_else(less, a, b), pc.if_else(less, b, a), *[none] * len(SKETCHES)], names=["a", "b", *SKETCHES])
         return out.filter(pc.not_equal(out.column(0), out.column(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def _pair_up(threshold: float, wide: int):
 
         def hot(t: pa.Table) -> Iterator[pa.RecordBatch]:
             for b in t.to_batches():
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.nulls(len(b), b.column(1).type), b.column(3), b.column(4)], names=["a", "b", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.nulls(len(b), b.column(1).type), *b.columns[3:]], names=["a", "b", *SKETCHES])
 
         def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
             """Pairs and hot records of whole bands."""
@@ -286,10 +288,10 @@ def prefixes(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     first = F.transform(F.filter("u", lambda u: u.bitwiseAND(F.lit(255)) == 0), shingle)
     freq = materialise(reps.select(F.explode(first).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "frequencies")
     many = F.col("n") > F.lit(FREQUENT * n)
-    rows = hot.select("k", "total", "s0", "s1", F.explode("u").alias("x")).withColumn("w", shingle(F.col("x")))
+    rows = hot.select("k", "total", *SKETCHES, F.explode("u").alias("x")).withColumn("w", shingle(F.col("x")))
     frequent = F.broadcast(freq.where(many))
     counted = rows.join(frequent, "w").unionByName(rows.join(frequent, "w", "left_anti").join(freq.where(~many), "w"))
-    ordered = counted.groupBy("k", "total", "s0", "s1").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("x")).select("k", "total", F.col("x.x").alias("u"), "s0", "s1")
+    ordered = counted.groupBy("k", "total", *SKETCHES).agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("x")).select("k", "total", F.col("x.x").alias("u"), *SKETCHES)
     grow = 1 / threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,9 +314,9 @@ def prefixes(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 continue
             x, key = (np.array(z, np.int64).view(np.uint64) for z in zip(*tok))
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(_mix(x) + key).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place, pa.int32()), b.column(3).take(at), b.column(4).take(at)], names=["token", "k", "total", "place", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(_mix(x) + key).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place, pa.int32()), *(c.take(at) for c in b.columns[3:])], names=["token", "k", "total", "place", *SKETCHES])
 
-    return ordered.mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int, place int, s0 long, s1 long")
+    return ordered.mapInArrow(run, f"token long, k {dict(reps.dtypes)['k']}, total int, place int, {_LONGS}")
 
 
 def token_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -324,11 +326,12 @@ def token_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """
     counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     salted = rows.join(counts, "token").withColumn("salts", F.ceil(F.col("m") / 4096).cast("int"))
-    left = salted.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - F.col("place")).alias("la"), F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-    right = salted.select("token", F.pmod(F.xxhash64("k"), "salts").cast("int").alias("salt"), F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - F.col("place")).alias("lb"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
+    left = salted.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - F.col("place")).alias("la"), *[F.col(s).alias(f"p{s}") for s in SKETCHES])
+    right = salted.select("token", F.pmod(F.xxhash64("k"), "salts").cast("int").alias("salt"), F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - F.col("place")).alias("lb"), *[F.col(s).alias(f"q{s}") for s in SKETCHES])
     fits = (F.col("ta") >= F.col("tb") * threshold - 1e-9) & (F.col("tb") >= F.col("ta") * threshold - 1e-9)
     fits &= F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (threshold / (1 + threshold)) - 1e-9
-    fits &= F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1"))) <= SKETCH - least_agreement(threshold)
+    apart = sum((F.bit_count(F.col(f"p{s}").bitwiseXOR(F.col(f"q{s}"))) for s in SKETCHES), F.lit(0))
+    fits &= apart <= SKETCH - least_agreement(threshold)
     return left.join(right, ["token", "salt"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
@@ -359,10 +362,10 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     reps = all_bags.join(members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
     reps = materialise(reps, "reps")
     sorted_bands = band_rows(reps, rows, bands).repartition("band").sortWithinPartitions("band")
-    met = sorted_bands.mapInArrow(_pair_up(threshold, wide), f"a {kind}, b {kind}, s0 long, s1 long").dropDuplicates(["a", "b"])
+    met = sorted_bands.mapInArrow(_pair_up(threshold, wide), f"a {kind}, b {kind}, {_LONGS}").dropDuplicates(["a", "b"])
     met = materialise(met, "candidates")
     found = met.where("b IS NOT NULL").select("a", "b")
-    hot = met.where("b IS NULL").select(F.col("a").alias("k"), "s0", "s1")
+    hot = met.where("b IS NULL").select(F.col("a").alias("k"), *SKETCHES)
     if not hot.isEmpty():
         exact = materialise(prefixes(reps.join(hot, "k"), reps, threshold), "prefixes")
         found = found.unionByName(token_pairs(exact, threshold)).distinct()
