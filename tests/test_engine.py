@@ -32,6 +32,15 @@ def test_join_checked_by_bytes(spark):
     assert session.row_bytes(spark.createDataFrame([], "a array<float>, b long")) > 500
 
 
+def test_written_tables_can_be_discarded(spark):
+    import os
+
+    a, b = session.materialise(spark.range(5)), session.materialise(spark.range(6))
+    where = [f.removeprefix("file://") for f in a.inputFiles()]
+    session.discard(a)
+    assert not any(map(os.path.exists, where)) and session.read_all([b, b]).count() == 12
+
+
 def test_fts_index_agrees_with_vectors(spark):
     docs = [(1, "The quick brown fox jumps"), (2, "A brown quick dog"), (3, None), (4, ""), (5, "foxes and dogs: the quick brown fox quick"), (None, "fox")]
     df = spark.createDataFrame(docs, "id long, t string")

@@ -67,6 +67,22 @@ def materialise(df: DataFrame, name: str = "stage", rows_per_file: int = 0) -> D
 _written: dict[str, list[str]] = {}
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more, before the application ends."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0].split("://")[-1].removeprefix("file:").replace("//", "/") for f in df.inputFiles()}
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    for p in [p for p in mine if p.split("://")[-1].removeprefix("file:").replace("//", "/") in folders]:
+        _delete(spark, p)
+        mine.remove(p)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that ``materialise`` wrote in this application, and say how many.
 
@@ -74,10 +90,8 @@ def release(spark: SparkSession) -> int:
     frames that still read them fail afterwards.
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     return len(paths)
 
 
