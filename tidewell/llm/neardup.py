@@ -7,7 +7,7 @@ is the similarity that is asked for: the chance to become a candidate depends
 on it alone, not on how rare the shingles are.  (Under TF-IDF weights it has no
 lower bound: records that share frequent words and differ in rare ones fall far
 below the threshold.)  Samples are joined into bands.  A band row carries one
-bit of each of 256 samples, so that two records that only share a band are told
+bit of each of 192 samples, so that two records that only share a band are told
 apart where they meet, and few pairs travel on to be verified by the exact
 similarity.  Equal bags are one class from the start.
 """
@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
+from tidewell.session import discard, materialise
 
 THRESHOLD = 0.7
 #: A pair at the threshold is missed by all bands with the probability (1 - 0.7 ** 6) ** 56 = 0.0009, one at 0.8 with 4e-8.
 ROWS, BANDS = 6, 56
 #: Samples of which a band row carries a bit, and how far below the expected agreement a pair may lie (4e-6 of them lie further).
-SKETCH, DEVIATIONS = 256, 4.5
+SKETCH, DEVIATIONS = 192, 4.5
 SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]  # its columns
 _LONGS = ", ".join(f"{s} long" for s in SKETCHES)
 #: Shingles in more than this share of the records are counted in a broadcast table, which bounds it.
@@ -361,6 +361,7 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     members = materialise(all_bags.select("k", "same", "copy").distinct().join(leads, ["same", "copy"]).join(classes, "same").select("k", "rep", "lead"), "members")
     reps = all_bags.join(members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
     reps = materialise(reps, "reps")
+    discard(all_bags)
     sorted_bands = band_rows(reps, rows, bands).repartition("band").sortWithinPartitions("band")
     met = sorted_bands.mapInArrow(_pair_up(threshold, wide), f"a {kind}, b {kind}, {_LONGS}").dropDuplicates(["a", "b"])
     met = materialise(met, "candidates")
