@@ -24,7 +24,7 @@ from tidewell.session import materialise
 
 _WORD = re.compile(r"[^\W_]+")
 #: Words of test items that are searched in one pass over the stored shards.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 #: Words of a shard.
 SHARD_WORDS = 500_000
 #: Matches that are extended at a time.
