@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.datetime import let
 from tidewell.session import join_checked, materialise
 
 MAX_POSITION = 16_383
@@ -419,9 +420,18 @@ def setweight(v: Column, letter: str, lexemes_: list[str] | None = None) -> Colu
 
 def concat(a: Column, b: Column) -> Column:
     """``||``: the lexemes of both, with all their positions."""
-    lex = F.array_sort(F.array_distinct(F.concat(F.transform(a, lambda e: e["lex"]), F.transform(b, lambda e: e["lex"]))))
-    at = lambda v, x: F.flatten(F.transform(F.filter(v, lambda e: e["lex"] == x), lambda e: e["pos"]))
-    return F.transform(lex, lambda x: F.struct(x.alias("lex"), F.array_sort(F.array_distinct(F.concat(at(a, x), at(b, x)))).alias("pos")))
+
+    def merged(both: Column) -> Column:
+        # A lexeme occurs once in each vector, so equal ones are neighbours: the second joins the first.
+        same = lambda i, e: F.coalesce(F.get(both, i)["lex"] == e["lex"], F.lit(False))
+
+        def joined(e: Column, i: Column) -> Column:
+            more = F.when(same(i + 1, e), F.get(both, i + 1)["pos"]).otherwise(F.array().cast("array<int>"))
+            return F.struct(e["lex"].alias("lex"), F.array_sort(F.array_union(e["pos"], more)).alias("pos"), ((i > 0) & same(i - 1, e)).alias("second"))
+
+        return F.transform(F.filter(F.transform(both, joined), lambda e: ~e["second"]), lambda e: F.struct(e["lex"].alias("lex"), e["pos"].alias("pos")))
+
+    return let(F.array_sort(F.concat(a, b)), merged)
 
 
 def ts_lexize(word: Column, config: str = "english") -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import jsonpath
+from tidewell.functions.datetime import let
 from tidewell.session import materialise
 
 
@@ -439,9 +440,12 @@ def build_object(*args) -> Column:
 def _object(pairs: Column) -> Column:
     """JSON text of array<struct<k, v>>, ``v`` JSON: pairs with a NULL key drop out, the last of equal keys holds."""
     known = F.filter(pairs, lambda p: p["k"].isNotNull())
-    last = F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.greatest(F.size(known), F.lit(1))), lambda q: q["k"] == p["k"]))
+    # By key, the latest first; the first of each key stays, and the old order is made again.
+    by_key = F.array_sort(F.transform(known, lambda p, i: F.struct(p["k"].alias("k"), (-i).alias("o"), p["v"].alias("v"))))
+    last = let(by_key, lambda xs: F.filter(xs, lambda p, i: (i == 0) | (F.get(xs, i - 1)["k"] != p["k"])))
+    ordered = F.array_sort(F.transform(last, lambda p: F.struct((-p["o"]).alias("o"), p["k"].alias("k"), p["v"].alias("v"))))
     quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
-    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda p: F.concat(quoted(p["k"]), F.lit(":"), p["v"])), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda p: F.concat(quoted(p["k"]), F.lit(":"), p["v"])), ","), F.lit("}"))
 
 
 def build_array(*values: Column) -> Column:
