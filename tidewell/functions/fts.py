@@ -315,7 +315,7 @@ def _ends(v: Column, q) -> Column:
     if q[0] == "phrase":
         a, b = _ends(v, q[1]), _ends(v, q[2])
         n = q[3]
-        return F.filter(b, lambda p: F.exists(a, lambda x: _place(x) + n == _place(p)))
+        return let(a, lambda xs: F.filter(b, lambda p: F.exists(xs, lambda x: _place(x) + n == _place(p))))
     raise ValueError("a phrase holds only words")
 
 
