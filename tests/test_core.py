@@ -76,6 +76,8 @@ def test_jsonpath_strict_and_variables():
     with pytest.raises(jsonpath.PathError):
         jsonpath.query({"a": 1}, "strict $.b")
     assert jsonpath.query({"a": 1}, "strict $.b", silent=True) == [] and jsonpath.exists({"a": 1}, "strict $.b") is None
+    mixed = '$.a ? (@.datetime() < "2024-01-01T10:00:00+02:00".datetime())'
+    assert jsonpath.query({"a": "2024-01-01T07:00:00"}, mixed, tz=True) == ["2024-01-01T07:00:00"] and not jsonpath.exists({"a": "2024-01-01T07:00:00"}, mixed)
     assert jsonpath.match({"a": 1}, "$.a == 1") is True and jsonpath.match({"a": 1}, "$.a") is None
 
 

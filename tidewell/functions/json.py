@@ -473,27 +473,27 @@ def _plain_steps(path: str) -> list[str] | None:
 
 def path_exists(doc: Column, path: str, variables: dict | None = None, tz: bool = False) -> Column:
     """``@?`` (``@?_tz``), JSON_EXISTS and JSONB_PATH_EXISTS (_TZ)."""
-    return _map(lambda x: jsonpath.exists(x, path, variables), "boolean", doc)
+    return _map(lambda x: jsonpath.exists(x, path, variables, tz), "boolean", doc)
 
 
 def path_match(doc: Column, path: str, variables: dict | None = None, tz: bool = False) -> Column:
     """``@@`` (``@@_tz``) and JSONB_PATH_MATCH (_TZ)."""
-    return _map(lambda x: jsonpath.match(x, path, variables), "boolean", doc)
+    return _map(lambda x: jsonpath.match(x, path, variables, tz), "boolean", doc)
 
 
 def path_query_array(doc: Column, path: str, variables: dict | None = None, silent: bool = True, tz: bool = False) -> Column:
     """JSONB_PATH_QUERY_ARRAY (_TZ)."""
-    return _map(lambda x: dump(jsonpath.query(x, path, variables, silent)), "string", doc)
+    return _map(lambda x: dump(jsonpath.query(x, path, variables, silent, tz)), "string", doc)
 
 
 def path_query_first(doc: Column, path: str, variables: dict | None = None, silent: bool = True, tz: bool = False) -> Column:
     """JSONB_PATH_QUERY_FIRST (_TZ); NULL where there is none."""
-    return _map(lambda x: dump(r[0]) if (r := jsonpath.query(x, path, variables, silent)) else None, "string", doc)
+    return _map(lambda x: dump(r[0]) if (r := jsonpath.query(x, path, variables, silent, tz)) else None, "string", doc)
 
 
 def path_query(df: DataFrame, doc: str, path: str, out: str = "value", variables: dict | None = None, silent: bool = True, tz: bool = False) -> DataFrame:
     """JSONB_PATH_QUERY (_TZ): one row an item."""
-    items = _map(lambda x: [dump(v) for v in jsonpath.query(x, path, variables, silent)], "array<string>", F.col(doc))
+    items = _map(lambda x: [dump(v) for v in jsonpath.query(x, path, variables, silent, tz)], "array<string>", F.col(doc))
     return df.withColumn(out, F.explode(items))
 
 

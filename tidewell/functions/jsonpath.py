@@ -12,7 +12,8 @@ import functools
 import math
 import re
 from collections.abc import Callable
-from datetime import datetime
+from contextvars import ContextVar
+from datetime import UTC, datetime
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<num>\d+\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<var>\$[A-Za-z_]\w*|\$"(?:[^"\\]|\\.)*")"""
@@ -20,6 +21,10 @@ _TOKEN = re.compile(
 )
 
 
+#: Whether times with and without a zone may be compared.
+_zones: ContextVar[bool] = ContextVar("zones", default=False)
+
+
 class PathError(ValueError):
     """The path is malformed, or strict mode met a structural error."""
 
@@ -468,7 +473,9 @@ def _compare(op, x, y):
     if not same:
         return None
     if isinstance(x, datetime) and (x.tzinfo is None) != (y.tzinfo is None):
-        return None
+        if not _zones.get():
+            raise PathError("a time with a zone and one without are compared in the _tz functions only")
+        x, y = (z if z.tzinfo else z.replace(tzinfo=UTC) for z in (x, y))
     return {"==": x == y, "!=": x != y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
 
@@ -526,31 +533,37 @@ def compile_path(text: str):
     return _Parser(text).parse()
 
 
-def query(doc, path: str, variables: dict | None = None, silent: bool = False) -> list:
-    """Items that the path selects in a parsed document."""
+def _items(doc, path: str, variables: dict | None, tz: bool) -> list:
     e, _ = compile_path(path)
+    before = _zones.set(tz)
     try:
         return e([doc, doc, -1], variables or {})
+    finally:
+        _zones.reset(before)
+
+
+def query(doc, path: str, variables: dict | None = None, silent: bool = False, tz: bool = False) -> list:
+    """Items that the path selects in a parsed document; with ``tz`` a time without a zone counts as UTC."""
+    try:
+        return _items(doc, path, variables, tz)
     except PathError:
         if silent:
             return []
         raise
 
 
-def exists(doc, path: str, variables: dict | None = None) -> bool | None:
+def exists(doc, path: str, variables: dict | None = None, tz: bool = False) -> bool | None:
     """``@?``: errors give NULL."""
-    e, _ = compile_path(path)
     try:
-        return bool(e([doc, doc, -1], variables or {}))
+        return bool(_items(doc, path, variables, tz))
     except PathError:
         return None
 
 
-def match(doc, path: str, variables: dict | None = None) -> bool | None:
+def match(doc, path: str, variables: dict | None = None, tz: bool = False) -> bool | None:
     """``@@``: any item true; NULL where none is a boolean or on an error."""
-    e, _ = compile_path(path)
     try:
-        items = [x for x in e([doc, doc, -1], variables or {}) if isinstance(x, bool)]
+        items = [x for x in _items(doc, path, variables, tz) if isinstance(x, bool)]
     except PathError:
         return None
     return any(items) if items else None

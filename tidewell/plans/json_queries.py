@@ -174,12 +174,13 @@ def jsonpath_rows(spark: SparkSession, d: str) -> DataFrame:
     return J.path_query(inputs(spark, d), "payload", "$.tags[*]").select("input_id", F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0].alias("tag"))
 
 
-@query("SELECT o_orderkey, o_orderdate >= TIMESTAMP '1995-06-01 02:00:00' AS late FROM orders")
+@query("SELECT o_orderkey, o_orderdate >= TIMESTAMP '1995-06-01 02:00:00' AS late, false AS without FROM orders")
 def jsonpath_tz(spark: SparkSession, d: str) -> DataFrame:
     """``@?_tz``: times of several zones are compared as instants."""
     configure(spark)
-    doc = F.date_format(F.col("o_orderdate").cast("timestamp"), "'{\"at\":\"'yyyy-MM-dd'T'HH:mm:ss'+00:00\"}'")
-    return table(spark, d, "orders").select("o_orderkey", J.path_exists(doc, '$.at ? (@.datetime() >= "1995-06-01T04:00:00+02:00".datetime())', tz=True).alias("late"))
+    doc = F.date_format(F.col("o_orderdate").cast("timestamp"), "'{\"at\":\"'yyyy-MM-dd'T'HH:mm:ss'\"}'")
+    path = '$.at ? (@.datetime() >= "1995-06-01T04:00:00+02:00".datetime())'
+    return table(spark, d, "orders").select("o_orderkey", J.path_exists(doc, path, tz=True).alias("late"), F.coalesce(J.path_exists(doc, path), F.lit(False)).alias("without"))
 
 
 @query("SELECT region_id, concat('[', string_agg(coalesce('\"' || query_text || '\"', 'null'), ',' ORDER BY query_id), ']') AS texts, concat('{', string_agg('\"' || query_id || '\":' || k, ',' ORDER BY query_id), '}') AS ks FROM recall_queries GROUP BY region_id")
