@@ -202,13 +202,15 @@ def test_catalog_rules_and_triggers(spark):
     assert [r["id"] for r in c.tables["q"].collect()] == [10]
     seen = []
     c.create_trigger("p", dml.Trigger("t", "delete", lambda old, new: seen.append(sorted(r["k"] for r in old.collect()))))
-    c.create_trigger("p", dml.Trigger("deep", "insert", lambda old, new: c.insert("p", new.withColumn("k", F.col("k") + 1)), "after"))
+    c.create("deep", spark.createDataFrame([], "k long"))
+    c.create_trigger("deep", dml.Trigger("deep", "insert", lambda old, new: c.insert("deep", spark.range(1).withColumnRenamed("id", "k")), "after"))
     c.delete("p", F.col("k") == 2)
     assert seen == [[2]]
     with pytest.raises(RecursionError):
-        c.insert("p", spark.createDataFrame([(100,)], "k long"))
-    c.drop_trigger("p", "deep")
-    assert c.list_triggers("p").count() == 1
+        c.insert("deep", spark.createDataFrame([(100,)], "k long"))
+    assert c.tables["deep"].count() == dml.MAX_DEPTH + 1
+    c.drop_trigger("deep", "deep")
+    assert c.list_triggers("p").count() == 1 and c.list_triggers("deep").count() == 0
     c.create_view("v", "SELECT k FROM p")
     c.begin("s")
     c.drop_view("v")

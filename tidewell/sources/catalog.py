@@ -16,6 +16,10 @@ from tidewell.session import materialise
 VOLATILE = re.compile(r"\b(?:rand|random|randn|uuid|now|current_timestamp|current_date|current_time|clock_timestamp|localtimestamp|localtime)\b", re.IGNORECASE)
 
 
+#: Statements on a table after which its rows are written.
+CUT = 8
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     column: str
@@ -85,6 +89,7 @@ class Catalog:
         self.triggers: dict[str, list[dml.Trigger]] = {}
         self.zone = "UTC"
         self._saved: list[tuple[str | None, tuple]] = []
+        self._steps: dict[str, int] = {}
 
     # Tables.
     def create(self, name: str, df: DataFrame, rules: Constraints | None = None) -> None:
@@ -187,7 +192,9 @@ class Catalog:
         self._check(name, df)
         if not self._saved:
             self._check(name, df, deferred=True)
-        self.create(name, df)
+        # Every statement adds to the plan of its table; it is cut from time to time.
+        self._steps[name] = self._steps.get(name, 0) + 1
+        self.create(name, materialise(df, "table") if self._steps[name] % CUT == 0 else df)
 
     def _changed(self, name: str, event: str, new_table: Callable[[DataFrame, DataFrame], DataFrame], old: DataFrame, new: DataFrame) -> None:
         """Run the table's triggers around one change."""
