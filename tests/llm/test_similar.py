@@ -152,3 +152,29 @@ def test_star_only_for_exact_copies(spark, tmp_path):
     lead = {x["input_id"]: x["representative"] for x in queries.p6_members(spark, str(tmp_path)).collect()}
     assert lead == {k: 100 if k in copies else k for k in keys}
     assert {tuple(sorted((x, y))) for a, b in got for x in keys if lead[x] == a for y in keys if lead[y] == b if x != y} | {(x, y) for x in keys for y in keys if x < y and lead[x] == lead[y]} == near
+
+
+def test_no_side_is_broadcast_by_estimate(spark):
+    """Spark sizes an array of words as one element, and would send hundreds of MB through the driver."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefgh") * 3 + str(r.randrange(4)) for _ in range(8)), None) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more", None) for i in range(20)] + [(200 + i, rows[i][1], None) for i in range(5)]
+    df = spark.createDataFrame(rows, "input_id long, text string, payload string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        before = store.executionsCount()
+        links, members = neardup.near_duplicates(df, "input_id", ["text", "payload"], wide=2)
+        assert neardup.expand(links, members).count() >= 25
+        assert neardup.groups(links, members).count() == 85
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        plans = store.executionsList()
+        done = [plans.apply(i).physicalPlanDescription() for i in range(plans.size()) if i >= before]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    done = [p.split("== Initial Plan ==")[0] for p in done]
+    assert sum("SortMergeJoin" in p for p in done) >= 8
+    sides = [p for p in done if "BroadcastExchange" in p]
+    # Only the frequent words of wide bands, which their share of the records bounds, where the rarest are collected.
+    assert all("ObjectHashAggregate" in p and p.count("BroadcastExchange") == 1 for p in sides) and len(sides) <= 1

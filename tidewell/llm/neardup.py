@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import discard, materialise
+from tidewell.session import discard, join_shuffled, materialise
 
 THRESHOLD = 0.7
 #: A pair at the threshold is missed by all bands with the probability (1 - 0.7 ** 6) ** 56 = 0.0009, one at 0.8 with 4e-8.
@@ -290,7 +290,7 @@ def prefixes(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     many = F.col("n") > F.lit(FREQUENT * n)
     rows = hot.select("k", "total", *SKETCHES, F.explode("u").alias("x")).withColumn("w", shingle(F.col("x")))
     frequent = F.broadcast(freq.where(many))
-    counted = rows.join(frequent, "w").unionByName(rows.join(frequent, "w", "left_anti").join(freq.where(~many), "w"))
+    counted = rows.join(frequent, "w").unionByName(join_shuffled(rows.join(frequent, "w", "left_anti"), freq.where(~many), "w"))
     ordered = counted.groupBy("k", "total", *SKETCHES).agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("x")).select("k", "total", F.col("x.x").alias("u"), *SKETCHES)
     grow = 1 / threshold
 
@@ -325,14 +325,14 @@ def token_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     A token that many records have is spread over salts: one side is copied to each of them.
     """
     counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    salted = rows.join(counts, "token").withColumn("salts", F.ceil(F.col("m") / 4096).cast("int"))
+    salted = join_shuffled(rows, counts, "token").withColumn("salts", F.ceil(F.col("m") / 4096).cast("int"))
     left = salted.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("k").alias("a"), F.col("total").alias("ta"), (F.col("total") - F.col("place")).alias("la"), *[F.col(s).alias(f"p{s}") for s in SKETCHES])
     right = salted.select("token", F.pmod(F.xxhash64("k"), "salts").cast("int").alias("salt"), F.col("k").alias("b"), F.col("total").alias("tb"), (F.col("total") - F.col("place")).alias("lb"), *[F.col(s).alias(f"q{s}") for s in SKETCHES])
     fits = (F.col("ta") >= F.col("tb") * threshold - 1e-9) & (F.col("tb") >= F.col("ta") * threshold - 1e-9)
     fits &= F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (threshold / (1 + threshold)) - 1e-9
     apart = sum((F.bit_count(F.col(f"p{s}").bitwiseXOR(F.col(f"q{s}"))) for s in SKETCHES), F.lit(0))
     fits &= apart <= SKETCH - least_agreement(threshold)
-    return left.join(right, ["token", "salt"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    return join_shuffled(left, right, ["token", "salt"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -340,7 +340,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     left = reps.select(F.col("k").alias("a"), F.col("u").alias("ua"))
     right = reps.select(F.col("k").alias("b"), F.col("u").alias("ub"))
     common = F.size(F.array_intersect("ua", "ub"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.size("ua") + F.size("ub") - common)).alias("similarity"))
+    both = join_shuffled(join_shuffled(pairs, left, "a"), right, "b").select("a", "b", (common / (F.size("ua") + F.size("ub") - common)).alias("similarity"))
     return both.where(F.col("similarity") >= threshold - 1e-12)
 
 
@@ -358,8 +358,9 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     all_bags = materialise(bags(df, key, columns, size), "bags")
     classes = all_bags.groupBy("same").agg(F.min("k").alias("rep"))
     leads = all_bags.groupBy("same", "copy").agg(F.min("k").alias("lead"))
-    members = materialise(all_bags.select("k", "same", "copy").distinct().join(leads, ["same", "copy"]).join(classes, "same").select("k", "rep", "lead"), "members")
-    reps = all_bags.join(members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
+    led = join_shuffled(all_bags.select("k", "same", "copy").distinct(), leads, ["same", "copy"])
+    members = materialise(join_shuffled(led, classes, "same").select("k", "rep", "lead"), "members")
+    reps = join_shuffled(all_bags, members.where("k = rep").select("k"), "k", "left_semi").dropDuplicates(["k"])
     reps = materialise(reps, "reps")
     discard(all_bags)
     sorted_bands = band_rows(reps, rows, bands).repartition("band").sortWithinPartitions("band")
@@ -368,7 +369,7 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], threshold: floa
     found = met.where("b IS NOT NULL").select("a", "b")
     hot = met.where("b IS NULL").select(F.col("a").alias("k"), *SKETCHES)
     if not hot.isEmpty():
-        exact = materialise(prefixes(reps.join(hot, "k"), reps, threshold), "prefixes")
+        exact = materialise(prefixes(join_shuffled(reps, hot, "k"), reps, threshold), "prefixes")
         found = found.unionByName(token_pairs(exact, threshold)).distinct()
     return materialise(_verify(found, reps, threshold), "links"), members
 
@@ -384,11 +385,12 @@ def expand(links: DataFrame, members: DataFrame, largest: int = EXPAND) -> DataF
     of one lead are all pairs, and copies have the links of their lead.
     """
     sizes = members.groupBy("rep", "lead").agg(F.countDistinct("k").alias("n"))
-    m = members.join(sizes, ["rep", "lead"])
+    m = join_shuffled(members, sizes, ["rep", "lead"])
     ends = m.where((F.col("n") <= largest) | (F.col("k") == F.col("lead"))).select("rep", "k")
-    cross = links.join(ends.select(F.col("rep").alias("a"), F.col("k").alias("x")), "a").join(ends.select(F.col("rep").alias("b"), F.col("k").alias("y")), "b").select("x", "y")
-    many = ends.join(ends.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "rep", "left_semi")
-    inside = many.select("rep", F.col("k").alias("x")).join(many.select("rep", F.col("k").alias("y")), "rep").where("x < y").select("x", "y")
+    cross = join_shuffled(links, ends.select(F.col("rep").alias("a"), F.col("k").alias("x")), "a")
+    cross = join_shuffled(cross, ends.select(F.col("rep").alias("b"), F.col("k").alias("y")), "b").select("x", "y")
+    many = join_shuffled(ends, ends.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "rep", "left_semi")
+    inside = join_shuffled(many.select("rep", F.col("k").alias("x")), many.select("rep", F.col("k").alias("y")), "rep").where("x < y").select("x", "y")
     star = m.where((F.col("n") > largest) & (F.col("k") != F.col("lead"))).select(F.col("lead").alias("x"), F.col("k").alias("y"))
     both = cross.unionByName(inside).unionByName(star)
     return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -405,16 +407,17 @@ def groups(links: DataFrame, members: DataFrame, max_rounds: int = 100) -> DataF
     nodes = edges.select(F.col("a").alias("v")).distinct()
     label = materialise(nodes.select("v", F.col("v").alias("l")), "labels")
     for _ in range(max_rounds):
-        near = edges.join(label, edges["b"] == label["v"]).select(F.col("a").alias("v"), "l")
+        near = join_shuffled(edges, label.withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), "l")
         least = near.unionByName(label).groupBy("v").agg(F.min("l").alias("l"))
         up = label.select(F.col("v").alias("l"), F.col("l").alias("ll"))
-        new = materialise(least.join(up, "l", "left").select("v", F.least("l", F.coalesce("ll", "l")).alias("l")), "labels")
-        changed = new.join(label.withColumnRenamed("l", "o"), "v").where("l <> o").limit(1).count()
+        new = materialise(join_shuffled(least, up, "l", "left").select("v", F.least("l", F.coalesce("ll", "l")).alias("l")), "labels")
+        changed = join_shuffled(new, label.withColumnRenamed("l", "o"), "v").where("l <> o").limit(1).count()
         label = new
         if not changed:
             break
     else:
         raise RuntimeError(f"labels still change after {max_rounds} rounds")
     degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    out = members.select("k", "rep").distinct().join(label.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
+    out = join_shuffled(members.select("k", "rep").distinct(), label.withColumnRenamed("v", "rep"), "rep", "left")
+    out = join_shuffled(out, degree, "rep", "left")
     return out.select("k", F.coalesce("l", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import fusion_rank, knn, leaks, neardup, packing, pii, subjects, topn
-from tidewell.session import configure, join_checked, materialise, table
+from tidewell.session import configure, join_checked, join_shuffled, materialise, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def p6_members(spark: SparkSession, d: str) -> DataFrame:
     configure(spark)
     copies = neardup.bags(table(spark, d, "atom_inputs"), "input_id", ["text", "payload"]).select("copy", "k").distinct()
     lead = copies.groupBy("copy").agg(F.min("k").alias("representative"))
-    return copies.join(lead, "copy").select(F.col("k").alias("input_id"), "representative").distinct()
+    return join_shuffled(copies, lead, "copy").select(F.col("k").alias("input_id"), "representative").distinct()
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:

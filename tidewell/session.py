@@ -129,6 +129,16 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_b
     return big.join(small, on, how)
 
 
+def join_shuffled(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join by a shuffle and sort whatever Spark takes the sizes for.
+
+    Spark sizes a scan by its files and an array as one element: of (k, u
+    array<long>) beside wide columns a twentieth of its bytes is left, as after
+    an explode, and a side of hundreds of MB is broadcast through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 #: A key is hot with more than this many rows, and more than this share of all.
 HOT_ROWS, HOT_SHARE = 100_000, 1e-5
 
