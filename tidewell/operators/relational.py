@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise, read_all
+from tidewell.session import join_shuffled, materialise, read_all
 
 _OPS: dict[str, Callable[[Column, Column], Column]] = {
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b,
@@ -54,8 +54,10 @@ def compare_all(df: DataFrame, column: str, op: str, sub: DataFrame, sub_column:
     elif op == "=":
         hit = (a == F.col("__lo")) & (F.col("__lo") == F.col("__hi"))
     else:
-        rest = sub.where(F.col(sub_column).isNull()).limit(1).count()
-        return df.where(F.lit(False)) if rest else df.join(sub.select(F.col(sub_column).alias("__s")), a == F.col("__s"), "left_anti").where(a.isNotNull() | F.lit(sub.isEmpty()))
+        if not sub.where(F.col(sub_column).isNull()).isEmpty():
+            return df.where(F.lit(False))
+        values = sub.select(F.col(sub_column).alias("__s")).distinct()
+        return join_shuffled(df, values, a == F.col("__s"), "left_anti").where(a.isNotNull() | F.lit(sub.isEmpty()))
     return df.join(e, how="cross").where((F.col("__all") == 0) | (~nulls & hit)).select(*df.columns)
 
 

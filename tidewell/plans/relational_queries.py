@@ -100,7 +100,14 @@ sql("join_null_keys", "SELECT f.atom_id, r.name FROM forgotten_atoms f LEFT JOIN
 sql("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 sql("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20)")
 sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-sql("anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+def anti_not_in(spark: SparkSession, d: str) -> DataFrame:
+    """Spark's own NOT IN sends the subquery through the driver, whatever its size."""
+    configure(spark)
+    lines = table(spark, d, "lineitem").where("l_quantity > 30")
+    return R.compare_all(table(spark, d, "part").select("p_partkey"), "p_partkey", "<>", lines, "l_partkey")
+
+
 sql("anti_not_in_null", "SELECT s_suppkey, s_suppkey IN (SELECT c_custkey FROM customer WHERE c_custkey < 50) AS known FROM supplier WHERE s_nationkey NOT IN (SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey END FROM nation WHERE n_regionkey < 2) OR s_suppkey < 5")
 
 
