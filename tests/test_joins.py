@@ -16,3 +16,13 @@ def test_not_in_is_not_broadcast(spark, tmp_path):
         out = registry.QUERIES["anti_not_in"](spark, d)
         assert sorted((r[0] for r in out.collect()), key=lambda x: (x is None, x)) == want[name]
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lateral_comma_is_a_join_on_the_key(spark, tmp_path):
+    customers = [(1, 10.0), (1, 10.0), (2, -20000.0), (3, None), (None, 1.0), (4, 10.0), (5, 2.0)]
+    orders = [(10, 1, 500.0), (11, 1, 400.0), (12, 2, 7.0), (13, 3, 9.0), (14, None, 900.0), (15, 6, 900.0), (16, 5, None), (17, 5, 81.0)]
+    d = written(spark, tmp_path, customer=("c_custkey long, c_acctbal double", customers), orders=("o_orderkey long, o_custkey long, o_totalprice double", orders))
+    out = registry.QUERIES["lateral_comma"](spark, d)
+    assert sorted(map(tuple, out.collect())) == [(1, 10, 500 / 20010), (1, 10, 500 / 20010), (2, 12, float("inf")), (5, 17, 81 / 20002)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Broadcast" not in plan

@@ -9,7 +9,7 @@ from tidewell.functions import scalar as S
 from tidewell.operators import relational as R
 from tidewell.operators.ranges import number_rows, ranked, sliding
 from tidewell.plans.registry import query, sql
-from tidewell.session import configure, table
+from tidewell.session import configure, join_shuffled, table
 
 # Flagship.
 sql(
@@ -144,7 +144,19 @@ sql(
     "lateral_left",
     "SELECT c_custkey, big.n, big.total FROM customer c LEFT JOIN LATERAL (SELECT CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000) big ON true",
 )
-sql("lateral_comma", "SELECT c_custkey, o.o_orderkey, o.share FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice / (c.c_acctbal + 20000) AS share FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > c.c_acctbal * 40) o")
+
+
+@query("SELECT c_custkey, o.o_orderkey, o.share FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice / (c.c_acctbal + 20000) AS share FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > c.c_acctbal * 40) o")
+def lateral_comma(spark: SparkSession, d: str) -> DataFrame:
+    """As a join on the key; Spark pairs every order with every balance that the LATERAL names."""
+    configure(spark)
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    both = join_shuffled(c, o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > F.col("c_acctbal") * 40))
+    base = F.col("c_acctbal") + 20000
+    # A zero divisor gives infinity or NaN as in the SQL, not an error.
+    share = F.when(base == 0, F.col("o_totalprice") * F.lit(float("inf"))).otherwise(F.col("o_totalprice") / base)
+    return both.select("c_custkey", "o_orderkey", share.alias("share"))
+
 
 # Aggregates.
 sql("agg_global", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(l_returnflag) AS BIGINT) AS nf, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_shipdate) AS lo, max(l_shipdate) AS hi, CAST(sum(l_linenumber) AS BIGINT) AS ln FROM lineitem")
